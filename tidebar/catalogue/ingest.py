@@ -225,9 +225,9 @@ def q_title_sentiment(spark, sf):
     return rounded(scored.select("doc_id", "polarity"))
 
 
-@query("mean_sentiment", _SENTIMENT + "SELECT round(coalesce(avg(polarity), 0), 6) AS avg_sentiment, count(*) AS articles FROM s")
+@query("mean_sentiment", _SENTIMENT + "SELECT round(coalesce(avg(polarity), 0), 4) AS avg_sentiment, count(*) AS articles FROM s")
 def q_mean_sentiment(spark, sf):
-    return rounded(N.mean_sentiment(N.title_sentiment(I.articles(spark, sf), I.lexicon(spark, sf), "doc_id")))
+    return rounded(N.mean_sentiment(N.title_sentiment(I.articles(spark, sf), I.lexicon(spark, sf), "doc_id")), 4)
 
 
 @query(
@@ -294,7 +294,7 @@ def q_append_dedup(spark, sf):
 @query(
     "append_sentiment",
     _SENTIMENT
-    + """SELECT TIMESTAMP '2024-10-18 12:00:00' + to_days(k::INTEGER) AS timestamp, round(a, 6) AS score
+    + """SELECT TIMESTAMP '2024-10-18 12:00:00' + to_days(k::INTEGER) AS timestamp, round(a, 4) AS score
        FROM (SELECT coalesce(avg(polarity), 0) AS a FROM s), range(2) r(k)""",
 )
 def q_append_sentiment(spark, sf):
@@ -302,7 +302,7 @@ def q_append_sentiment(spark, sf):
     score = N.mean_sentiment(N.title_sentiment(I.articles(spark, sf), I.lexicon(spark, sf), "doc_id"))
     for day in ("2024-10-18 12:00:00", "2024-10-19 12:00:00"):
         K.append_sentiment(score, path, F.lit(day))
-    return rounded(spark.read.parquet(path))
+    return rounded(spark.read.parquet(path), 4)
 
 
 def _naive(spark, sf, horizons=(12, 24)):

@@ -28,6 +28,20 @@ def epoch_micros(ts: str | Column) -> Column:
     return F.unix_date(t.cast("date")).cast("long") * 86_400_000_000 + clock + seconds
 
 
+def event_time(ts: str | Column) -> Column:
+    """A zone-less timestamp as an instant, its clock read as UTC; watermarks need an instant."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def wall_clock(at: str | Column) -> Column:
+    """Inverse of ``event_time``."""
+    micros = F.unix_micros(col(at))
+    seconds = (micros / 1_000_000).cast("decimal(18,6)")
+    days = F.floor(micros / 86_400_000_000)
+    rest = (seconds - days * 86400).cast("decimal(18,6)")
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(days=days.cast("int"), secs=rest)
+
+
 def total_order(ts: str | Column, ids: tuple[str, ...]) -> Column:
     """One sortable value for ``(ts, *ids)``.
 

@@ -133,14 +133,14 @@ def year_of_15min(
 
     Coarse bars are put on the 15-minute grid and interpolated, all resolutions
     are united with one row per timestamp, cut to the last ``days``, aligned on
-    the market calendar, interpolated again and given their features. Volume has
-    no meaning between bars and is 0 there. ``stage`` writes the aligned table,
+    the market calendar, interpolated again and given their features. Volume
+    comes from 15-minute bars only and is 0 elsewhere. ``stage`` writes the aligned table,
     which the steps after it read several times.
     """
     prices = ["open", "high", "low", "close"]
     finer = []
     for coarse in (bars_1h, bars_1d):
-        up = upsample_asfreq(coarse)
+        up = upsample_asfreq(coarse.select("series", "ts", *prices))
         finer.append(interpolate_linear(stage(up, "grid") if stage else up, order, prices))
     parts = dict(zip(RESOLUTIONS, [bars_15m, *finer]))
     rows = dedup_precedence(union_resolutions(parts), precedence).drop("resolution")

@@ -26,15 +26,17 @@ def build_bars(
     ids: tuple[str, ...] = (),
     volume: Column | None = None,
     slide: str | None = None,
+    at: str = "ts",
 ) -> DataFrame:
     """OHLCV bars of ``interval`` per series; ``slide`` makes them overlap.
 
     ``ids`` break ties of ``ts``, so open and close are the same on every run.
+    ``at`` names the column that assigns a tick to its bar.
     All aggregates have partial forms: a shuffle carries one row per task,
     series and bar, also when one series holds most of the ticks.
     """
     first_last = total_order("ts", ids)
-    bucket = F.window("ts", interval, slide) if slide else F.window("ts", interval)
+    bucket = F.window(at, interval, slide) if slide else F.window(at, interval)
     return (
         ticks.groupBy("series", bucket.alias("_bar"))
         .agg(

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidebar.functions.scalars import event_time, wall_clock
 from tidebar.operators.ewm import decay
 from tidebar.sources.bars import build_bars
 
@@ -16,12 +16,15 @@ DELAY = "10 minutes"
 
 def stream_bars(ticks: DataFrame, interval: str, price: str = "price", ids: tuple[str, ...] = (), delay: str = DELAY) -> DataFrame:
     """Bars of a stream; a bar is final, and later ticks of it dropped, once the watermark passes it."""
-    return build_bars(ticks.withWatermark("ts", delay), interval, price, ids)
+    ticks = ticks.withColumn("_at", event_time("ts")).withWatermark("_at", delay)
+    bars = build_bars(ticks, interval, price, ids, at="_at")
+    return bars.withColumn("ts", wall_clock("ts"))
 
 
 def stream_append_dedup(rows: DataFrame, keys: list[str], delay: str = DELAY) -> DataFrame:
     """First row of each key within the watermark delay."""
-    return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+    rows = rows.withColumn("_at", event_time("ts")).withWatermark("_at", delay)
+    return rows.dropDuplicatesWithinWatermark(keys).drop("_at")
 
 
 def stream_ema_signals(ticks: DataFrame, fast: float = 9, slow: float = 21, value: str = "value", tie: str = "event_id") -> DataFrame:
@@ -48,21 +51,20 @@ def stream_ema_signals(ticks: DataFrame, fast: float = 9, slow: float = 21, valu
     def advance(key, batches, state: GroupState):
         rows = pd.concat(list(batches)).sort_values(["ts", tie], kind="stable")
         last = state.get if state.exists else (None, None)
-        x = rows[value].to_numpy()
+        x = rows[value].astype(float)
         means = []
         for q, y in zip(spans, last):
-            out = x.astype(float).copy()
-            for i, v in enumerate(out):
-                y = v if y is None else (1 - q) * v + q * y
-                out[i] = y
-            means.append(out)
+            # the mean so far takes the place of one earlier value
+            head = [] if y is None else [y]
+            run = pd.concat([pd.Series(head, dtype=float), x]).ewm(alpha=1 - q, adjust=False).mean()
+            means.append(run.to_numpy()[len(head):])
         state.update((float(means[0][-1]), float(means[1][-1])))
         yield pd.DataFrame(
             {
                 "series": key[0],
                 "ts": rows["ts"].to_numpy(),
                 tie: rows[tie].to_numpy(),
-                value: x,
+                value: x.to_numpy(),
                 "ema_fast": means[0],
                 "ema_slow": means[1],
                 "signal": (means[0] > means[1]).astype("int32"),
@@ -88,7 +90,3 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     )
     query.awaitTermination()
 
-
-def closed_before(ticks: DataFrame, delay: str = DELAY) -> Column:
-    """Watermark after all of ``ticks``: bars that end at or before it are final."""
-    return ticks.agg(F.max("ts") - F.expr(f"interval {delay}")).scalar()
