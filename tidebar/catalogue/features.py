@@ -262,10 +262,9 @@ def _training_part(bars, order):
     """Band, RSI, ATR and ADX columns with the colour of the last change."""
     z = zones.enter(bars, order, before=ind.CONTEXT)
     w = zones.window(order)
-    z = ind.with_adx(ind.with_directional_index(ind.with_directional_movement(ind.with_true_range(z, w), w), w), w)
-    z = ind.with_atr(ind.with_rsi(z, w), w)
-    upper, lower = ind.bollinger("close", w)
-    z = z.withColumns({"upper_band": upper, "lower_band": lower, "impulse_color": ind.simple_impulse("close", w)})
+    z = ind.with_directional_movement(ind.with_true_range(ind.with_rsi(z, w), w), w)
+    z = ind.with_adx(ind.with_directional_index(ind.bollinger(ind.with_atr(z, w), w), w), w)
+    z = z.withColumn("impulse_color", ind.simple_impulse("close", w))
     z = C.fill_zero(z, ["upper_band", "lower_band", "atr"])
     return zones.leave(z).select(
         "series", "ts", "open", "high", "low", "close", "volume", "rsi", "atr", "adx", "upper_band", "lower_band", "impulse_color"

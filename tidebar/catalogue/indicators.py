@@ -95,15 +95,7 @@ def q_sma(spark, sf):
 
 @query("bollinger", _ind_sql("sma20", "upper_band", "lower_band"))
 def q_bollinger(spark, sf):
-    df = zones.over(
-        I.bars_h(spark, sf),
-        I.H,
-        before=20,
-        sma20=lambda w: ind.sma("close", w),
-        upper_band=lambda w: ind.bollinger("close", w)[0],
-        lower_band=lambda w: ind.bollinger("close", w)[1],
-    )
-    return rounded(df.select("series", "ts", "sma20", "upper_band", "lower_band"))
+    return _on(I.bars_h(spark, sf), I.H, 20, ind.bollinger, keep=("sma20", "upper_band", "lower_band"))
 
 
 @query("prev_close", _ind_sql("prev_close"))

@@ -237,5 +237,5 @@ def q_asof_keyed(spark, sf):
         F.col("ts").alias("bar_ts"),
         F.col("close").alias("bar_close"),
     )
-    out = enrich.asof_enrich(events, done, ["bar_ts", "bar_close"], ("series",), I.Order(1200))
+    out = enrich.asof_enrich(events, done, ["bar_ts", "bar_close"], ("series",))
     return out.select("series", "event_id", "value", "bar_ts", "bar_close")

@@ -11,18 +11,22 @@ from tidebar.plans.zones import Order
 SALTS = 8
 
 
-def asof_enrich(left: DataFrame, right: DataFrame, columns: list[str], on: tuple[str, ...], order: Order) -> DataFrame:
+def asof_enrich(
+    left: DataFrame, right: DataFrame, columns: list[str], on: tuple[str, ...], order: Order | None = None
+) -> DataFrame:
     """X1, both sides keyed: the latest ``right`` row at or before each ``left`` row of the same keys.
 
     Both sides become one ordered frame whose missing values are filled
     forward, and the left rows are kept. Zones split it by time, so a long
-    series is spread over tasks.
+    series is spread over tasks. Without ``order`` the density is measured on
+    the left side.
     """
     both = left.withColumn("_side", F.lit(1)).unionByName(
         right.select(*on, "ts", *columns).withColumn("_side", F.lit(0)), allowMissingColumns=True
     )
     # a struct marks presence, so a missing value in the latest right row stays missing
     both = both.withColumn("_match", F.when(F.col("_side") == 0, F.struct(*columns)))
+    order = order or zones.fit(left, Order(keys=tuple(on)))
     order = Order(order.step, tuple(on), "ts", ("_side",), order.rows)
     z = zones.fill_forward(zones.enter(both, order), order, {"_match": "_match"})
     z = z.where(F.col("_side") == 1).withColumns({c: F.col(f"_match.{c}") for c in columns})

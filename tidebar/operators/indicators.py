@@ -29,6 +29,11 @@ def full(agg, c: str | Column, w: WindowSpec, n: int) -> Column:
     return F.when(F.count(col(c)).over(frame) >= n, agg(col(c)).over(frame))
 
 
+def total(c: str | Column, w: WindowSpec, n: int) -> Column:
+    """Sum over the last ``n`` rows of a column that is never missing; missing until there are ``n``."""
+    return F.when(F.col("_pos") >= n - 1, F.sum(col(c)).over(w.rowsBetween(-(n - 1), 0)))
+
+
 def previous(c: str, w: WindowSpec) -> Column:
     return F.lag(c).over(w)
 
@@ -50,87 +55,140 @@ def sma(c: str, w: WindowSpec, n: int = BAND_ROWS) -> Column:
     return full(F.avg, c, w, n)
 
 
-def bollinger(c: str, w: WindowSpec, n: int = BAND_ROWS, width: float = BAND_WIDTH) -> tuple[Column, Column]:
-    """Upper and lower band, sample deviation."""
-    mean, deviation = full(F.avg, c, w, n), full(F.stddev_samp, c, w, n)
-    return mean + width * deviation, mean - width * deviation
+# I5–I16 in four layers. A layer holds expressions that need only the layers
+# before it, so a composed frame evaluates each layer in one window pass; a
+# single indicator picks the names it needs.
 
 
-def with_rsi(z: DataFrame, w: WindowSpec, n: int = RSI_ROWS, out: str = "rsi") -> DataFrame:
-    """Simple-mean RSI. The first change counts as 0; warm-up and 0/0 give 0."""
-    z = z.withColumn("_d", F.coalesce(change("close", w), F.lit(0.0)))
-    z = z.withColumns({"_up": positive(F.col("_d")), "_down": negative(F.col("_d"))})
-    value = oscillator(full(F.avg, "_up", w, n), full(F.avg, "_down", w, n))
-    return z.withColumn(out, F.coalesce(value, F.lit(0.0))).drop("_d", "_up", "_down")
+def price_changes(w: WindowSpec) -> dict[str, Column]:
+    """First layer, lags. I8, and the changes behind I5, I11 and I16.
+
+    The first change of the close counts as 0; the others are missing.
+    """
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    return {
+        "prev_close": previous("close", w),
+        "_d": F.coalesce(change("close", w), F.lit(0.0)),
+        "_dh": change("high", w),
+        "_dl": change("low", w),
+        "typical_price": typical,
+        "_dtp": typical - F.lag(typical).over(w),
+    }
+
+
+def movements() -> dict[str, Column]:
+    """Second layer, per row. I9 (high - low on the first row), I11, I15 and the split flow of I16.
+
+    I11 has no mutual exclusion.
+    """
+    high, low, before, flow = F.col("high"), F.col("low"), F.col("prev_close"), F.col("typical_price") * F.col("volume")
+    zero = F.lit(0.0)
+    return {
+        "_up": positive(F.col("_d")),
+        "_down": negative(F.col("_d")),
+        "tr": F.greatest(high - low, F.abs(high - before), F.abs(low - before)),
+        "plus_dm": F.when(F.col("_dh").isNotNull(), F.greatest(F.col("_dh"), zero)),
+        "minus_dm": F.when(F.col("_dl").isNotNull(), F.abs(F.least(F.col("_dl"), zero))),
+        "money_flow": flow,
+        "positive_flow": F.when(F.col("_dtp") > 0, flow).otherwise(zero),
+        "negative_flow": F.when(F.col("_dtp") < 0, flow).otherwise(zero),
+    }
+
+
+def frames(w: WindowSpec, n: int = RSI_ROWS, band: int = BAND_ROWS) -> dict[str, Column]:
+    """Third layer, rolling sums. I6 and the parts of I5, I7, I10, I12 and I16."""
+    return {
+        "_up_n": total("_up", w, n),
+        "_down_n": total("_down", w, n),
+        "_tr_n": full(F.sum, "tr", w, n),
+        "_plus_n": full(F.sum, "plus_dm", w, n),
+        "_minus_n": full(F.sum, "minus_dm", w, n),
+        "_flow_in": total("positive_flow", w, n),
+        "_flow_out": total("negative_flow", w, n),
+        "sma20": sma("close", w, band),
+        "_sd": full(F.stddev_samp, "close", w, band),
+    }
+
+
+def values(n: int = RSI_ROWS, width: float = BAND_WIDTH) -> dict[str, Column]:
+    """Fourth layer, per row. I5, I7, I10, I12, I16 and the ratio behind I13.
+
+    RSI and MFI are 0 in the warm-up and at 0/0.
+    """
+    c = F.col
+    plus, minus = 100 * ratio(c("_plus_n"), c("_tr_n")), 100 * ratio(c("_minus_n"), c("_tr_n"))
+    return {
+        "rsi": F.coalesce(oscillator(c("_up_n") / n, c("_down_n") / n), F.lit(0.0)),
+        "upper_band": c("sma20") + width * c("_sd"),
+        "lower_band": c("sma20") - width * c("_sd"),
+        "atr": c("_tr_n") / n,
+        "plus_di": plus,
+        "minus_di": minus,
+        "mfi": F.coalesce(oscillator(c("_flow_in"), c("_flow_out")), F.lit(0.0)),
+        "_dx": ratio(F.abs(plus - minus), plus + minus),
+    }
+
+
+def adx(w: WindowSpec, n: int = ADX_ROWS) -> Column:
+    """One missing ratio voids its ``n`` frames; missing becomes 0."""
+    return F.coalesce(100 * full(F.avg, "_dx", w, n), F.lit(0.0))
+
+
+def pick(layer: dict[str, Column], *names: str) -> dict[str, Column]:
+    return {n: layer[n] for n in names}
+
+
+def bollinger(z: DataFrame, w: WindowSpec) -> DataFrame:
+    """Mean and both bands, sample deviation."""
+    z = z.withColumns(pick(frames(w), "sma20", "_sd"))
+    return z.withColumns(pick(values(), "upper_band", "lower_band")).drop("_sd")
+
+
+def with_rsi(z: DataFrame, w: WindowSpec) -> DataFrame:
+    """Simple-mean RSI."""
+    z = z.withColumns(pick(price_changes(w), "_d")).withColumns(pick(movements(), "_up", "_down"))
+    z = z.withColumns(pick(frames(w), "_up_n", "_down_n")).withColumns(pick(values(), "rsi"))
+    return z.drop("_d", "_up", "_down", "_up_n", "_down_n")
 
 
 def with_true_range(z: DataFrame, w: WindowSpec) -> DataFrame:
-    """Previous close and true range; the first row has high - low."""
-    z = z.withColumn("prev_close", previous("close", w))
-    return z.withColumn(
-        "tr",
-        F.greatest(
-            F.col("high") - F.col("low"),
-            F.abs(F.col("high") - F.col("prev_close")),
-            F.abs(F.col("low") - F.col("prev_close")),
-        ),
-    )
+    """I8, I9."""
+    return z.withColumns(pick(price_changes(w), "prev_close")).withColumns(pick(movements(), "tr"))
 
 
-def with_atr(z: DataFrame, w: WindowSpec, n: int = ATR_ROWS) -> DataFrame:
+def with_atr(z: DataFrame, w: WindowSpec) -> DataFrame:
     """I10."""
-    return z.withColumn("atr", full(F.avg, "tr", w, n))
+    return z.withColumns(pick(frames(w), "_tr_n")).withColumns(pick(values(), "atr")).drop("_tr_n")
 
 
 def with_directional_movement(z: DataFrame, w: WindowSpec) -> DataFrame:
-    """Without mutual exclusion; missing on the first row."""
-    up, down = change("high", w), change("low", w)
-    return z.withColumns(
-        {
-            "plus_dm": F.when(up.isNotNull(), F.greatest(up, F.lit(0.0))),
-            "minus_dm": F.when(down.isNotNull(), F.abs(F.least(down, F.lit(0.0)))),
-        }
-    )
+    """Missing on the first row."""
+    z = z.withColumns(pick(price_changes(w), "_dh", "_dl"))
+    return z.withColumns(pick(movements(), "plus_dm", "minus_dm")).drop("_dh", "_dl")
 
 
-def with_directional_index(z: DataFrame, w: WindowSpec, n: int = ADX_ROWS) -> DataFrame:
+def with_directional_index(z: DataFrame, w: WindowSpec) -> DataFrame:
     """I12."""
-    tr = full(F.sum, "tr", w, n)
-    return z.withColumns(
-        {
-            "plus_di": 100 * ratio(full(F.sum, "plus_dm", w, n), tr),
-            "minus_di": 100 * ratio(full(F.sum, "minus_dm", w, n), tr),
-        }
-    )
+    parts = ("_tr_n", "_plus_n", "_minus_n")
+    z = z.withColumns(pick(frames(w), *parts)).withColumns(pick(values(), "plus_di", "minus_di", "_dx"))
+    return z.drop(*parts)
 
 
-def with_adx(z: DataFrame, w: WindowSpec, n: int = ADX_ROWS) -> DataFrame:
-    """One missing ratio voids its ``n`` frames; missing becomes 0."""
-    z = z.withColumn(
-        "_dx", ratio(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di"))
-    )
-    z = z.withColumn("adx", F.coalesce(100 * full(F.avg, "_dx", w, n), F.lit(0.0)))
-    return z.drop("_dx")
+def with_adx(z: DataFrame, w: WindowSpec) -> DataFrame:
+    """I13 after I12."""
+    return z.withColumn("adx", adx(w)).drop("_dx")
 
 
 def with_money_flow(z: DataFrame, w: WindowSpec) -> DataFrame:
     """Typical price, money flow, and the flow split by the direction of the price."""
-    z = z.withColumn("typical_price", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    z = z.withColumn("money_flow", F.col("typical_price") * F.col("volume"))
-    z = z.withColumn("_dtp", change("typical_price", w))
-    z = z.withColumns(
-        {
-            "positive_flow": F.when(F.col("_dtp") > 0, F.col("money_flow")).otherwise(0.0),
-            "negative_flow": F.when(F.col("_dtp") < 0, F.col("money_flow")).otherwise(0.0),
-        }
-    )
-    return z.drop("_dtp")
+    z = z.withColumns(pick(price_changes(w), "typical_price", "_dtp"))
+    return z.withColumns(pick(movements(), "money_flow", "positive_flow", "negative_flow")).drop("_dtp")
 
 
-def with_mfi(z: DataFrame, w: WindowSpec, n: int = MFI_ROWS) -> DataFrame:
-    """I16: warm-up and 0/0 give 0."""
-    value = oscillator(full(F.sum, "positive_flow", w, n), full(F.sum, "negative_flow", w, n))
-    return z.withColumn("mfi", F.coalesce(value, F.lit(0.0)))
+def with_mfi(z: DataFrame, w: WindowSpec) -> DataFrame:
+    """I16 after I15."""
+    z = z.withColumns(pick(frames(w), "_flow_in", "_flow_out")).withColumns(pick(values(), "mfi"))
+    return z.drop("_flow_in", "_flow_out")
 
 
 def macd_carry(
@@ -180,6 +238,12 @@ def simple_impulse(c: str, w: WindowSpec) -> Column:
 WARMUP_COLUMNS = ("sma20", "upper_band", "lower_band", "prev_close", "atr", "plus_di", "minus_di")
 
 
+INTERMEDIATE = (
+    "_d", "_dh", "_dl", "_dtp", "_up", "_down", "_up_n", "_down_n", "_tr_n", "_plus_n", "_minus_n", "_flow_in", "_flow_out",
+    "_sd", "_dx", "_prev_rsi", "plus_dm", "minus_dm", "typical_price", "money_flow", "positive_flow", "negative_flow",
+)
+
+
 def zoned_indicators(z: DataFrame, order: Order) -> DataFrame:
     """I2–I19 on a zoned frame with ``CONTEXT`` rows of context.
 
@@ -189,23 +253,8 @@ def zoned_indicators(z: DataFrame, order: Order) -> DataFrame:
     are missing at the start alone, where a fill has nothing to bring.
     """
     w = zones.window(order)
-    z = with_true_range(z, w)
-    z = with_directional_movement(z, w)
-    z = with_rsi(z, w)
-    z = with_money_flow(z, w)
-    upper, lower = bollinger("close", w)
-    z = z.withColumns(
-        {
-            "_prev_rsi": previous("rsi", w),
-            "sma20": sma("close", w),
-            "upper_band": upper,
-            "lower_band": lower,
-            "atr": full(F.avg, "tr", w, ATR_ROWS),
-        }
-    )
-    z = with_mfi(z, w)
-    z = with_directional_index(z, w)
-    z = with_adx(z, w)
+    z = z.withColumns(price_changes(w)).withColumns(movements()).withColumns(frames(w)).withColumns(values())
+    z = z.withColumns({"adx": adx(w), "_prev_rsi": previous("rsi", w)})
     carry = macd_carry(z, order, extra={"ema9": ("close", 9), "ema21": ("close", 21)})
     carry.fill_forward("plus_di", "plus_di")
     carry.fill_forward("minus_di", "minus_di")
@@ -218,9 +267,7 @@ def zoned_indicators(z: DataFrame, order: Order) -> DataFrame:
             **{c: F.coalesce(F.col(c), F.lit(0.0)) for c in WARMUP_COLUMNS},
         }
     )
-    return z.drop(
-        "_prev_rsi", "plus_dm", "minus_dm", "typical_price", "money_flow", "positive_flow", "negative_flow"
-    )
+    return z.select(*[c for c in z.columns if c not in INTERMEDIATE])
 
 
 def indicator_frame(bars: DataFrame, order: Order) -> DataFrame:
@@ -232,9 +279,7 @@ def sequence_indicators(bars: DataFrame, order: Order) -> DataFrame:
     """The indicator set of the sequence model, warm-up left missing."""
     z = zones.enter(bars, order, before=3 * 14 + 4)
     w = zones.window(order)
-    z = with_rsi_inner(z, w)
-    upper, lower = bollinger("close", w)
-    z = z.withColumns({"sma20": sma("close", w), "upper_band": upper, "lower_band": lower})
+    z = bollinger(with_rsi_inner(z, w), w)
     z = with_mfi_variant(z, w)
     z = with_adx_variant(z, w)
     extra = {f"ema{n}": ("close", n) for n in (9, 21, 50, 200)}
@@ -256,7 +301,7 @@ def with_rsi_inner(z: DataFrame, w: WindowSpec, n: int = RSI_ROWS) -> DataFrame:
 def with_mfi_variant(z: DataFrame, w: WindowSpec, n: int = MFI_ROWS) -> DataFrame:
     """Flow ratio and MFI without the fill."""
     z = with_money_flow(z, w)
-    up, down = full(F.sum, "positive_flow", w, n), full(F.sum, "negative_flow", w, n)
+    up, down = total("positive_flow", w, n), total("negative_flow", w, n)
     return z.withColumns({"mfr": ratio(up, down), "mfi": oscillator(up, down)})
 
 
@@ -290,23 +335,25 @@ def with_adx_variant(z: DataFrame, w: WindowSpec, n: int = ADX_ROWS) -> DataFram
     return z.withColumn("adx", full(F.avg, "dx", w, n)).drop("_p", "_m")
 
 
-def rsi_min1(bars: DataFrame, order: Order, out: str = "rsi") -> DataFrame:
-    """RSI whose frame may be short; filled back, then 0."""
-    z = zones.enter(bars, order, before=RSI_ROWS + 1)
-    w = zones.window(order)
-    z = z.withColumn("_d", F.coalesce(change("close", w), F.lit(0.0)))
-    z = z.withColumns({"_up": positive(F.col("_d")), "_down": negative(F.col("_d"))})
+def with_rsi_short(z: DataFrame, w: WindowSpec, out: str = "rsi") -> DataFrame:
+    """RSI whose frame may be short; missing at 0/0."""
+    z = z.withColumns(pick(price_changes(w), "_d")).withColumns(pick(movements(), "_up", "_down"))
     frame = w.rowsBetween(-(RSI_ROWS - 1), 0)
     z = z.withColumn(out, oscillator(F.avg("_up").over(frame), F.avg("_down").over(frame)))
-    z = zones.fill_backward(z.drop("_d", "_up", "_down"), order, {out: out})
+    return z.drop("_d", "_up", "_down")
+
+
+def rsi_min1(bars: DataFrame, order: Order, out: str = "rsi") -> DataFrame:
+    """RSI whose frame may be short; filled back, then 0."""
+    z = with_rsi_short(zones.enter(bars, order, before=RSI_ROWS + 1), zones.window(order), out)
+    z = zones.fill_backward(z, order, {out: out})
     return zones.leave(z.withColumn(out, F.coalesce(F.col(out), F.lit(0.0))))
 
 
 def bollinger_bfill(bars: DataFrame, order: Order) -> DataFrame:
     """Bands with the warm-up filled back, then 0."""
     z = zones.enter(bars, order, before=BAND_ROWS)
-    upper, lower = bollinger("close", zones.window(order))
-    z = z.withColumns({"upper_band": upper, "lower_band": lower})
+    z = bollinger(z, zones.window(order))
     z = zones.fill_backward(z, order, {"upper_band": "upper_band", "lower_band": "lower_band"})
     zero = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("upper_band", "lower_band")}
     return zones.leave(z.withColumns(zero))

@@ -167,17 +167,7 @@ def year_features(df: DataFrame, order: Order) -> DataFrame:
     z = zones.enter(df, order, before=FEATURE_CONTEXT)
     w = zones.window(order)
     z = z.withColumn("impulse_color", indicators.simple_impulse("close", w))
-    z = z.withColumn("_d", F.coalesce(indicators.change("close", w), F.lit(0.0)))
-    z = z.withColumns({"_up": indicators.positive(F.col("_d")), "_down": indicators.negative(F.col("_d"))})
-    frame = w.rowsBetween(-(indicators.RSI_ROWS - 1), 0)
-    upper, lower = indicators.bollinger("close", w)
-    z = z.withColumns(
-        {
-            "rsi": indicators.oscillator(F.avg("_up").over(frame), F.avg("_down").over(frame)),
-            "upper_band": upper,
-            "lower_band": lower,
-        }
-    ).drop("_d", "_up", "_down")
+    z = indicators.bollinger(indicators.with_rsi_short(z, w), w).drop("sma20")
     new = {**lag_features("close", w), **moving_averages("close", w)}
     z = z.withColumns(new)
     carry = ewm_carry(z, order, {"_fast": ("close", 12), "_slow": ("close", 26)})

@@ -72,10 +72,11 @@ def band_signals_from_bars(bars: DataFrame, order: Order) -> DataFrame:
     """G5–G8 only: no exponential mean, so no carry between zones."""
     z = zones.enter(bars, order, before=indicators.CONTEXT + CALM_ROWS)
     w = zones.window(order)
-    z = indicators.with_rsi(z, w)
-    upper, lower = indicators.bollinger("close", w)
-    z = z.withColumns({"upper_band": upper, "lower_band": lower})
-    z = indicators.with_atr(indicators.with_true_range(z, w), w)
+    i = indicators
+    z = z.withColumns(i.pick(i.price_changes(w), "prev_close", "_d"))
+    z = z.withColumns(i.pick(i.movements(), "tr", "_up", "_down"))
+    z = z.withColumns(i.pick(i.frames(w), "_up_n", "_down_n", "_tr_n", "sma20", "_sd"))
+    z = z.withColumns(i.pick(i.values(), "rsi", "atr", "upper_band", "lower_band"))
     z = z.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("upper_band", "lower_band", "atr")})
     z = z.withColumn("_calm", calm(w))
     z = z.withColumns({k: F.lit(0.0) for k in ("ema9", "ema21", "macd", "macd_signal")})

@@ -8,10 +8,12 @@ cut into *zones* of about ``rows`` consecutive rows:
 1. ``zone_map`` counts rows per (series, bucket), a bucket being a short time
    range. The running count gives each bucket the position of its first row.
    The map has one row per bucket, never one per input row.
-2. ``enter`` joins the map, sends every row to its own zone (``_core``) and
-   copies the rows within ``before``/``after`` positions of a neighbouring zone
+2. ``enter`` joins the map, which sends every row to its own zone (``_core``)
+   and copies the buckets within ``before``/``after`` positions of another zone
    to that zone as context. One shuffle on (series, _zone) follows, shared by
-   all windows an operator needs.
+   all windows an operator needs. Spark decides by the size of the map whether
+   to broadcast it; where it is too large, the rows are shuffled once more, on
+   (series, bucket), whose groups are small by construction.
 3. ``leave`` keeps the core rows, each exactly once.
 
 What reaches further than any fixed context (fills, running sums, exponential
@@ -65,17 +67,37 @@ def zone_rows(spark: SparkSession, order: Order) -> int:
     return int(spark.conf.get(ZONE_ROWS_CONF, str(ZONE_ROWS)))
 
 
+def fit(df: DataFrame, order: Order, most_zones: int = 1 << 18) -> Order:
+    """``order`` with step and zone size measured on ``df``, by one aggregate over keys and time.
+
+    For frames that are not on a regular grid, such as ticks, and for series so
+    long that the zone table (one row per zone, handled per keys) would itself
+    grow large: the longest series gets at most about ``most_zones`` zones.
+    """
+    span = epoch_seconds(F.max(order.ts)) - epoch_seconds(F.min(order.ts))
+    per_key = df.groupBy(*order.keys).agg(F.count(F.lit(1)).alias("n"), span.alias("span"))
+    top = per_key.agg(F.max("n").alias("n"), F.max(F.col("n") / (F.col("span") + 1)).alias("density")).first()
+    if not top["n"]:
+        return order
+    rows = order.rows
+    if rows is None and top["n"] > most_zones * zone_rows(df.sparkSession, order):
+        rows = -(-top["n"] // most_zones)
+    return replace(order, step=max(1.0 / top["density"], 1e-6), rows=rows)
+
+
 def _bucket(order: Order, rows: int) -> Column:
-    width = max(1, int(order.step * max(1, rows // BUCKETS_PER_ZONE)))
-    return F.floor(epoch_seconds(order.ts) / width)
+    """Start of the time range of a row; plain integer arithmetic on the timestamp."""
+    width = max(1, round(order.step * 1e6 * max(1, rows // BUCKETS_PER_ZONE)))
+    return F.window(order.ts, f"{width} microseconds").start.alias("_bucket")
 
 
 def zone_map(df: DataFrame, order: Order, before: int = 0, after: int = 0) -> DataFrame:
-    """Per (keys, bucket): position of its first row, its zone and the zones it serves."""
+    """One row per (keys, bucket, zone the bucket serves), with the position of its first row.
+
+    ``_core`` marks the bucket's own zone; in the others its rows are context.
+    """
     rows = zone_rows(df.sparkSession, order)
-    counts = df.groupBy(*order.keys, _bucket(order, rows).alias("_bucket")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
+    counts = df.groupBy(*order.keys, _bucket(order, rows)).agg(F.count(F.lit(1)).alias("_c"))
     whole = Window.partitionBy(*order.keys)
     run = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     m = counts.select(
@@ -87,19 +109,15 @@ def zone_map(df: DataFrame, order: Order, before: int = 0, after: int = 0) -> Da
         F.max("_c").over(whole).alias("_cmax"),
     )
     home = F.floor(F.col("_off") / rows)
+    if not (before or after):
+        return m.select(*order.keys, "_bucket", "_off", "_n", home.alias("_zone"), F.lit(True).alias("_core"))
     # zone z starts at or after row z*rows and ends before (z+1)*rows + largest bucket
     low = F.greatest(F.lit(0), F.floor((F.col("_off") + 1 - F.col("_cmax") - after) / rows))
+    low = F.least(home, low) if after else home
     high = F.floor((F.col("_off") + F.col("_c") + before - 1) / rows)
-    high = F.greatest(home, F.least(high, F.floor((F.col("_n") - 1) / rows)))
-    return m.select(
-        *order.keys,
-        "_bucket",
-        "_off",
-        "_n",
-        home.alias("_home"),
-        (F.least(home, low) if after else home).alias("_low"),
-        (high if before else home).alias("_high"),
-    )
+    high = F.greatest(home, F.least(high, F.floor((F.col("_n") - 1) / rows))) if before else home
+    m = m.withColumns({"_home": home, "_zone": F.explode(F.sequence(low, high))})
+    return m.select(*order.keys, "_bucket", "_off", "_n", "_zone", (F.col("_zone") == F.col("_home")).alias("_core"))
 
 
 def window(order: Order) -> WindowSpec:
@@ -111,15 +129,9 @@ def enter(df: DataFrame, order: Order, before: int = 0, after: int = 0) -> DataF
     rows = zone_rows(df.sparkSession, order)
     m = zone_map(df, order, before, after)
     z = df.withColumn("_bucket", _bucket(order, rows)).join(m, [*order.keys, "_bucket"])
-    if before or after:
-        z = z.withColumn("_zone", F.explode(F.sequence("_low", "_high")))
-        z = z.withColumn("_core", F.col("_zone") == F.col("_home"))
-    else:
-        z = z.withColumn("_zone", F.col("_home")).withColumn("_core", F.lit(True))
     w = window(order)
     start = F.first("_off").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    z = z.withColumn("_pos", start + F.row_number().over(w) - 1)
-    return z.drop("_bucket", "_off", "_home", "_low", "_high")
+    return z.withColumn("_pos", start + F.row_number().over(w) - 1).drop("_bucket", "_off")
 
 
 def leave(z: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -186,13 +198,20 @@ class Carry:
         )
 
     def fill_backward(self, out: str, source: str | Column) -> None:
-        """Next non-missing value at or after the row."""
+        """Next non-missing value at or after the row.
+
+        Runs over descending positions: a frame that ends at the last row would
+        be evaluated anew for every row.
+        """
         c = F.col(source) if isinstance(source, str) else source
+        down = Window.partitionBy(*self.order.keys, "_zone").orderBy(F.col("_pos").desc())
+        links = [F.col(g).desc() for g in self.group[len(self.order.keys):]]
+        later = Window.partitionBy(*self.order.keys).orderBy(*links)
         self.add(
             out,
-            F.first(c, ignorenulls=True).over(self.zone.rowsBetween(0, Window.unboundedFollowing)),
+            F.last(c, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)),
             F.min_by(c, F.when(c.isNotNull(), F.col("_pos"))),
-            F.first(f"_t_{out}", ignorenulls=True).over(self.chain.rowsBetween(1, Window.unboundedFollowing)),
+            F.last(f"_t_{out}", ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, -1)),
             F.coalesce(f"_l_{out}", f"_c_{out}"),
         )
 
