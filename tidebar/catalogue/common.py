@@ -148,8 +148,8 @@ def frame_ctes(source: str) -> dict[str, str]:
         coalesce(last_value(plus_di IGNORE NULLS) OVER ({keep}), 0) AS plus_di,
         coalesce(last_value(minus_di IGNORE NULLS) OVER ({keep}), 0) AS minus_di,
         adx, e9 AS ema9, e21 AS ema21, mfi, e8 - e21 AS impulse_macd, rsi AS impulse_rsi,
-        CASE WHEN round(e8 - e21 - sig, 9) > 0 AND round(rsi, 9) > round(prev_rsi, 9) THEN 'green'
-             WHEN round(e8 - e21 - sig, 9) < 0 AND round(rsi, 9) < round(prev_rsi, 9) THEN 'red' ELSE 'gray' END AS impulse_color
+        CASE WHEN round(e8 - e21 - sig, 6) > 0 AND round(rsi, 6) > round(prev_rsi, 6) THEN 'green'
+             WHEN round(e8 - e21 - sig, 6) < 0 AND round(rsi, 6) < round(prev_rsi, 6) THEN 'red' ELSE 'gray' END AS impulse_color
         FROM ind i JOIN ew ON ew.series = i.series AND ew.rn = i.rn"""
     return {**e, **indicator_ctes(source), "fr": fr}
 

@@ -263,11 +263,11 @@ def q_ema_set(spark, sf):
     "macd_standard",
     ctes("bars_h", recursive=True, **ewm_sql("bars_h", {"f": ("close", 12), "s": ("close", 26)}, ("f", "s", 9)))
     + f"""SELECT n.series, n.ts, {rnd('f - s AS macd', 'sig AS macd_signal', 'f - s - sig AS macd_histogram')},
-        sign(round(f - s - sig, 9))::INTEGER AS impulse_macd FROM ew JOIN num n USING (series, rn)""",
+        sign(round(f - s - sig, 6))::INTEGER AS impulse_macd FROM ew JOIN num n USING (series, rn)""",
 )
 def q_macd_standard(spark, sf):
     z = ind.with_macd(zones.enter(I.bars_h(spark, sf), I.H), I.H, 12, 26, 9)
-    z = z.withColumn("impulse_macd", F.signum(F.round("macd_histogram", 9)).cast("int"))
+    z = z.withColumn("impulse_macd", F.signum(F.round("macd_histogram", ind.PLACES)).cast("int"))
     return rounded(zones.leave(z).select("series", "ts", "macd", "macd_signal", "macd_histogram", "impulse_macd"))
 
 
@@ -341,7 +341,7 @@ _SEQ = {**ewm_sql("bars_h", {"f": ("close", 12), "s": ("close", 26), **EMAS}, ("
     + f"""SELECT i.series, i.ts, {rnd('ema9', 'ema21', 'ema50', 'ema200', 'f - s AS macd', 'sig AS macd_signal')},
         round(CASE WHEN n >= 14 THEN {osc('g', 'l')} END, 6) AS rsi, {rnd('i.upper_band AS upper_band', 'i.lower_band AS lower_band')},
         round({osc('pf14', 'nf14')}, 6) AS mfi, {rnd('r6.atr AS atr', 'r6.adx AS adx')},
-        sign(round(f - s - sig, 9))::INTEGER AS impulse_macd
+        sign(round(f - s - sig, 6))::INTEGER AS impulse_macd
         FROM ind i JOIN ew ON ew.series = i.series AND ew.rn = i.rn
         JOIN r6 ON r6.series = i.series AND r6.ts = i.ts JOIN k2 ON k2.series = i.series AND k2.ts = i.ts""",
 )

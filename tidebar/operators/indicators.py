@@ -19,6 +19,7 @@ from tidebar.plans.zones import Carry, Order
 FAST, SLOW, SIGNAL = 8, 21, 9
 RSI_ROWS = ATR_ROWS = ADX_ROWS = MFI_ROWS = 14
 BAND_ROWS, BAND_WIDTH = 20, 2
+PLACES = 6  # two values that agree to this many places count as equal
 # Rows of context the composed frame needs: 14 + 14 for ADX, one lag, some spare.
 CONTEXT = 40
 
@@ -216,7 +217,7 @@ def with_macd(z: DataFrame, order: Order, fast: float = FAST, slow: float = SLOW
     return finish_macd(macd_carry(z, order, fast, slow, signal).apply(), order, fast, slow, signal)
 
 
-def impulse_color(histogram: str, rsi: str, previous_rsi: str, places: int = 9) -> Column:
+def impulse_color(histogram: str, rsi: str, previous_rsi: str, places: int = PLACES) -> Column:
     """Compared after rounding, so that noise in the last digits decides nothing."""
     hist, now, before = (F.round(c, places) for c in (histogram, rsi, previous_rsi))
     return (
@@ -284,7 +285,7 @@ def sequence_indicators(bars: DataFrame, order: Order) -> DataFrame:
     z = with_adx_variant(z, w)
     extra = {f"ema{n}": ("close", n) for n in (9, 21, 50, 200)}
     z = finish_macd(macd_carry(z, order, 12, 26, 9, extra).apply(), order, 12, 26, 9)
-    z = z.withColumn("impulse_macd", F.signum(F.round("macd_histogram", 9)).cast("int"))
+    z = z.withColumn("impulse_macd", F.signum(F.round("macd_histogram", PLACES)).cast("int"))
     return zones.leave(z)
 
 

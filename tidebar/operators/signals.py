@@ -33,15 +33,20 @@ def calm(w: WindowSpec) -> Column:
     return F.col("atr") < indicators.full(F.avg, "atr", w, CALM_ROWS)
 
 
-def signal_columns(is_calm: Column) -> dict[str, Column]:
-    """G1–G8 on indicator columns."""
+def signal_columns(is_calm: Column, places: int = indicators.PLACES) -> dict[str, Column]:
+    """G1–G8 on indicator columns.
+
+    Means are compared after rounding: on the first row of a series they are
+    equal, and noise in the last digits must not fire a signal.
+    """
     c = F.col
-    up, down = c("ema9") > c("ema21"), c("ema9") < c("ema21")
+    fast, slow, macd, smooth = (F.round(x, places) for x in ("ema9", "ema21", "macd", "macd_signal"))
+    up, down = fast > slow, fast < slow
     width = c("upper_band") - c("lower_band")
     wide, neutral = width > 2 * c("atr"), (c("rsi") > 40) & (c("rsi") < 60)
     return {
-        "debit_spread_call": flag(up & (c("macd") > c("macd_signal")) & (c("rsi") < 70)),
-        "debit_spread_put": flag(down & (c("macd") < c("macd_signal")) & (c("rsi") > 30)),
+        "debit_spread_call": flag(up & (macd > smooth) & (c("rsi") < 70)),
+        "debit_spread_put": flag(down & (macd < smooth) & (c("rsi") > 30)),
         "credit_spread_put": flag((c("close") > c("lower_band")) & (c("rsi") > 40) & up & is_calm),
         "credit_spread_call": flag((c("close") < c("upper_band")) & (c("rsi") < 60) & down & is_calm),
         "iron_condor": flag((width < 2 * c("atr")) & is_calm),
