@@ -9,7 +9,7 @@ from tidebar.catalogue.common import HASH, KEY, ctes, full, over, rnd, rounded
 from tidebar.functions.scalars import key_hash, series_key
 from tidebar.operators import evaluate as E
 from tidebar.operators import models as M
-from tidebar.operators.features import moving_averages, multi_horizon_targets
+from tidebar.operators.features import horizon_targets, inline_targets
 from tidebar.operators.indicators import sma
 from tidebar.operators.splits import kfold
 from tidebar.plans import inputs as I
@@ -22,7 +22,7 @@ HORIZONS = (12, 24, 48)
 def wide_predictions(spark, sf, horizons=HORIZONS):
     """Four simple forecasts per bar and horizon: lag 1, two averages, lag 3."""
     bars = I.bars_h(spark, sf).select("series", "ts", "close")
-    z = zones.enter(bars, I.H, before=20)
+    z = zones.enter(bars, I.H, before=20, after=max(horizons))
     w = zones.window(I.H)
     z = z.withColumns(
         {
@@ -30,10 +30,10 @@ def wide_predictions(spark, sf, horizons=HORIZONS):
             "m2": sma("close", w, 5),
             "m3": sma("close", w, 20),
             "m4": F.lag("close", 3).over(w),
+            "_targets": horizon_targets(w, {str(h): h for h in horizons}, "close", "actual"),
         }
     )
-    rows = multi_horizon_targets(zones.leave(z), I.H, horizons)
-    return rows.na.drop(subset=MODELS).withColumnRenamed("target", "actual").drop("steps")
+    return inline_targets(zones.leave(z), "actual").na.drop(subset=MODELS).drop("steps")
 
 
 def long_predictions(spark, sf, horizons=HORIZONS):

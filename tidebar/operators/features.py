@@ -126,21 +126,24 @@ def multi_horizon_targets(df: DataFrame, order: Order, horizons, c: str = "close
     if not isinstance(horizons, dict):
         horizons = {str(h): h for h in horizons}
     z = zones.enter(df, order, after=max(horizons.values()))
-    w = zones.window(order)
-    targets = F.array(
+    z = z.withColumn("_targets", horizon_targets(zones.window(order), horizons, c))
+    return inline_targets(zones.leave(z))
+
+
+def horizon_targets(w: WindowSpec, horizons: dict[str, int], c: str = "close", out: str = "target") -> Column:
+    """Array of (horizon, steps, value ``steps`` rows ahead)."""
+    return F.array(
         *[
-            F.struct(
-                F.lit(label).alias("horizon"),
-                F.lit(steps).alias("steps"),
-                F.lead(c, steps).over(w).alias("target"),
-            )
+            F.struct(F.lit(label).alias("horizon"), F.lit(steps).alias("steps"), F.lead(c, steps).over(w).alias(out))
             for label, steps in horizons.items()
         ]
     )
-    z = z.withColumn("_targets", targets)
-    out = zones.leave(z)
-    out = out.select(*[x for x in out.columns if x != "_targets"], F.inline("_targets"))
-    return out.where(F.col("target").isNotNull())
+
+
+def inline_targets(df: DataFrame, out: str = "target") -> DataFrame:
+    """One row per entry of ``_targets`` that has a value."""
+    df = df.select(*[x for x in df.columns if x != "_targets"], F.inline("_targets"))
+    return df.where(F.col(out).isNotNull())
 
 
 def horizon_table(spark, path: str, section: str = "intervals") -> DataFrame:

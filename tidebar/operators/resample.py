@@ -112,12 +112,14 @@ def dedup_precedence(
     """One row per keys. ``finest`` keeps the finest resolution, ``coarse`` the coarsest."""
     if precedence not in ("finest", "coarse"):
         raise ValueError("precedence is 'finest' or 'coarse'")
-    rank = F.lit(None).cast("int")
-    for i, label in enumerate(RESOLUTIONS):
-        rank = F.when(F.col("resolution") == label, F.lit(i if precedence == "coarse" else -i)).otherwise(rank)
-    rest = [c for c in df.columns if c not in keys]
-    # fixed-width ranks per column keep this a hash aggregate with a partial step
-    return df.withColumn("_rank", rank).groupBy(*keys).agg(*[F.max_by(c, "_rank").alias(c) for c in rest])
+    order = RESOLUTIONS if precedence == "coarse" else RESOLUTIONS[::-1]
+    labels = F.array(*[F.lit(label) for label in order])
+    rest = [c for c in df.columns if c not in (*keys, "resolution")]
+    # fixed-width ranks and values keep this a hash aggregate with a partial step
+    best = df.withColumn("_rank", F.array_position(labels, F.col("resolution"))).groupBy(*keys).agg(
+        *[F.max_by(c, "_rank").alias(c) for c in rest], F.max("_rank").alias("_rank")
+    )
+    return best.withColumn("resolution", F.element_at(labels, F.col("_rank").cast("int"))).drop("_rank")
 
 
 def positional_align(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("series", "ts")) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.functions.scalars import key_hash
-from tidebar.operators.features import HORIZONS_CLOCK
+from tidebar.operators.features import HORIZONS_CLOCK, horizon_targets, inline_targets
 from tidebar.plans import zones
 from tidebar.plans.zones import Order
 
@@ -43,9 +43,6 @@ def trend_line() -> dict[str, Column]:
     return {"_slope": slope, "_intercept": (sy - slope * sx) / n}
 
 
-MOMENTS = ("_sx", "_sy", "_sxx", "_sxy", "_cnt")
-
-
 def walk_forward(
     df: DataFrame, order: Order, horizons: dict[str, int] = HORIZONS_CLOCK, every: int = 15, history: int = 48,
     c: str = "close",
@@ -59,23 +56,11 @@ def walk_forward(
     z = zones.enter(df, order, after=max(horizons.values()))
     w = zones.window(order)
     z = trend_moments(z, order, c)
-    forecasts = F.array(
-        *[
-            F.struct(
-                F.lit(label).alias("horizon"),
-                F.lit(steps).alias("steps"),
-                F.lead(c, steps).over(w).alias("actual"),
-            )
-            for label, steps in horizons.items()
-        ]
-    )
-    z = z.withColumns({**trend_line(), "_forecasts": forecasts})
+    z = z.withColumns({**trend_line(), "_targets": horizon_targets(w, horizons, c, "actual")})
     z = z.where("_core").where((F.col("_pos") % every == 0) & (F.col("_pos") >= history - 1))
-    out = z.select(
-        "series", "ts", F.col("_pos").alias("origin"), "_slope", "_intercept", F.inline("_forecasts")
-    )
+    out = inline_targets(z.select("series", "ts", F.col("_pos").alias("origin"), "_slope", "_intercept", "_targets"), "actual")
     predicted = F.col("_intercept") + F.col("_slope") * (F.col("origin") + F.col("steps"))
-    return out.where(F.col("actual").isNotNull()).select(
+    return out.select(
         "series", "ts", "origin", "horizon", "actual", predicted.alias("predicted")
     )
 
@@ -94,7 +79,6 @@ def expanding_daily(
     z = zones.enter(df, order, after=reach)
     w = zones.window(order)
     z = trend_moments(z, order, c)
-    z = z.where("_core") if not reach else z
     lines = z.where(F.col("_core") & ((F.col("_pos") + 1) % day_rows == 0))
     lines = lines.withColumns(trend_line()).select(
         "series", ((F.col("_pos") + 1) / day_rows).cast("long").alias("day"), "_slope", "_intercept"

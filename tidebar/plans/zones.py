@@ -233,9 +233,18 @@ class Carry:
             (F.max("_pos") + 1).alias("_end"),
             *[c.alias(n) for n, c in self.tails.items()],
         )
-        carries = tails.select(*self.group, "_start", *[c.alias(n) for n, c in self.carries.items()])
-        z = z.join(carries, self.group, "left").withColumns(self.final)
-        return z.drop("_cell", "_start", *self.local, *self.carries)
+        carries = tails.select(
+            *[F.col(g).alias(f"_r{g}") for g in self.group], "_start", *[c.alias(n) for n, c in self.carries.items()]
+        )
+        # The equality is on keys and zone alone, by which the rows are partitioned already; the
+        # cell, a few per zone, is matched as a range so that it does not call for another shuffle.
+        match = F.lit(True)
+        for g in [*self.order.keys, "_zone"]:
+            match = match & (F.col(g) == F.col(f"_r{g}"))
+        if self.cell:
+            match = match & (F.col("_cell") >= F.col("_r_cell")) & (F.col("_cell") <= F.col("_r_cell"))
+        z = z.join(carries, match, "left").withColumns(self.final)
+        return z.drop("_cell", "_start", *[f"_r{g}" for g in self.group], *self.local, *self.carries)
 
 
 def fill_forward(z: DataFrame, order: Order, columns: dict[str, str]) -> DataFrame:

@@ -122,10 +122,13 @@ def atm_iv_summary(
     An expiry without any such quote stays: the condition sits inside the
     aggregates, not in a filter. Gaps are filled from the previous expiry, then 0.
     """
-    near = F.abs(F.col("strike") - price) / price < strike_range
+    quotes = quotes.withColumn("_price", price)
+    near = F.abs(F.col("strike") - F.col("_price")) / F.col("_price") < strike_range
+    # a missing kind stands for a quote outside the range
+    quotes = quotes.withColumn("_kind", F.when(near, F.col("kind")))
     iv = quotes.groupBy(key, "expiry").agg(
-        F.avg(F.when(near & (F.col("kind") == "call"), F.col("iv"))).alias("avg_iv_calls"),
-        F.avg(F.when(near & (F.col("kind") == "put"), F.col("iv"))).alias("avg_iv_puts"),
+        F.avg(F.when(F.col("_kind") == "call", F.col("iv"))).alias("avg_iv_calls"),
+        F.avg(F.when(F.col("_kind") == "put", F.col("iv"))).alias("avg_iv_puts"),
     )
     iv = iv.withColumn("avg_iv", (F.col("avg_iv_calls") + F.col("avg_iv_puts")) / 2)
     expiries = Order(86400 * 30, (key,), "expiry")
