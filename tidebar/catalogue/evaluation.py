@@ -14,6 +14,7 @@ from tidebar.operators.indicators import sma
 from tidebar.operators.splits import kfold
 from tidebar.plans import inputs as I
 from tidebar.plans import zones
+from tidebar.plans.joins import join_configured
 
 MODELS = ["m1", "m2", "m3", "m4"]
 HORIZONS = (12, 24, 48)
@@ -157,7 +158,7 @@ def q_shifted_zero(spark, sf):
 def q_plot_rows(spark, sf):
     rows = long_predictions(spark, sf)
     band = E.metrics_by(rows).select("model", "horizon", F.col("ci_low").alias("low"), F.col("ci_high").alias("high"))
-    return rounded(rows.join(band, ["model", "horizon"]).select("model", "horizon", "series", "ts", "actual", "predicted", "low", "high"))
+    return rounded(join_configured(rows, band, ("model", "horizon")).select("model", "horizon", "series", "ts", "actual", "predicted", "low", "high"))
 
 
 @query(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidebar.catalogue import query
 from tidebar.catalogue.cleaning import frame
 from tidebar.catalogue.common import HASH, KEY, ctes, ewm_sql, frame_ctes, full, indicator_ctes, over, rnd, rounded
-from tidebar.catalogue.resampling import YEAR_COLUMNS, _year, year
 from tidebar.functions.scalars import series_key
 from tidebar.operators import clean as C
 from tidebar.operators import evaluate as E
@@ -15,6 +15,7 @@ from tidebar.operators import features as X
 from tidebar.operators import indicators as ind
 from tidebar.operators import splits as V
 from tidebar.operators.ewm import ewm
+from tidebar.operators.models import vectorise
 from tidebar.plans import inputs as I
 from tidebar.plans import zones
 from tidebar.session import stage_once
@@ -209,12 +210,18 @@ def q_last_timestep(spark, sf):
     return rounded(df.select("series", "ts", X.last_timestep().alias("s")).select("series", "ts", "s.*"), 9)
 
 
-@query("vectorise")
+@query(
+    "vectorise",
+    ctes("bars_h", **_LM)
+    + " UNION ALL ".join(
+        f"SELECT series, ts, {i} AS pos, {rnd(f'{c} AS value')} FROM lm WHERE close_ma_15 IS NOT NULL"
+        for i, c in enumerate(LAG_NAMES + MEAN_NAMES)
+    ),
+)
 def q_vectorise(spark, sf):
-    from tidebar.operators.models import vectorise
-
     rows = X.lags_and_averages(I.bars_h(spark, sf), I.H).na.drop()
-    return vectorise([*LAG_NAMES, *MEAN_NAMES]).transform(rows).select("series", "ts", F.col("features").cast("string").alias("features"))
+    vectors = vectorise([*LAG_NAMES, *MEAN_NAMES]).transform(rows)
+    return rounded(vectors.select("series", "ts", F.posexplode(vector_to_array("features")).alias("pos", "value")))
 
 
 _TREND = ewm_sql("bars_d", {"ema9": ("close", 9), "ema21": ("close", 21)})

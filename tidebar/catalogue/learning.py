@@ -192,7 +192,10 @@ def q_train_or_tune(spark, sf):
     return parts[0].unionByName(parts[1]).groupBy("how").agg(e["mae"].alias("mae"), e["rmse"].alias("rmse"))
 
 
-@query("save_models")
+@query(
+    "save_models",
+    ctes("bars_h") + "SELECT series, greatest(count(*) - 15, 0) AS n, true AS same FROM bars_h GROUP BY series HAVING count(*) > 15",
+)
 def q_save_models(spark, sf):
     rows = training(spark, sf)
     model = M.train_or_tune(rows.where(F.col("split") == "train"), M.random_forest(**SMALL), FEATURES, {"maxDepth": 3}, GRID)

@@ -182,17 +182,6 @@ YEAR_COLUMNS = (
 )
 
 
-def year(spark, sf):
-    """The complete 15-minute pipeline, stored once."""
-    return stage_once(
-        spark,
-        f"{sf}/year",
-        lambda: R.year_of_15min(
-            I.bars_15m_all(spark, sf), I.bars_h_all(spark, sf), I.bars_d_all(spark, sf), I.Q, stage=stage
-        ),
-    )
-
-
 @query("year_of_15min", _year())
 def q_year(spark, sf):
     bars = I.bars_15m_all(spark, sf), I.bars_h_all(spark, sf), I.bars_d_all(spark, sf)

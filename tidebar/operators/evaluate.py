@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.plans import zones
+from tidebar.plans.joins import join_per_key
 from tidebar.plans.zones import Order
 
 INTERVAL_LEVEL = 0.75  # fixed default
@@ -91,7 +92,7 @@ def shifted_error(
 def predicted_vs_actual(df: DataFrame, keys: tuple[str, ...] = ("series",), level: float = INTERVAL_LEVEL) -> DataFrame:
     """The rows behind a plot: time, actual, predicted and the interval of the group."""
     band = df.groupBy(*keys).agg(*[a.alias(n) for n, a in spread_interval(level=level).items()])
-    return df.join(band, list(keys)).select(
+    return join_per_key(df, band, keys).select(
         *keys, "ts", "actual", "predicted", F.col("ci_low").alias("low"), F.col("ci_high").alias("high")
     )
 

@@ -15,6 +15,7 @@ from tidebar.operators.clean import (
     numeric_columns,
 )
 from tidebar.plans import zones
+from tidebar.plans.joins import join_per_key
 from tidebar.plans.zones import Order
 
 # Fixed default lags, averages and horizons (label -> row steps).
@@ -100,7 +101,7 @@ def minmax_scale(
     fitted on ``df``.
     """
     fitted = scaler(df, columns, keys) if fitted is None else fitted
-    out = df.join(fitted, list(keys))
+    out = join_per_key(df, fitted, keys)
     out = out.withColumns({f"{c}_scaled": minmax_expr(c) for c in columns})
     return out.drop(*[f"_{m}_{c}" for c in columns for m in ("min", "max")])
 
@@ -111,7 +112,7 @@ def inverse_scale(
     """a scaled value back in units of ``column``, with the training scaler."""
     low, high = F.col(f"_min_{column}"), F.col(f"_max_{column}")
     fitted = fitted.select(*keys, f"_min_{column}", f"_max_{column}")
-    df = df.join(fitted, list(keys)).withColumn(out, F.col(value) * (high - low) + low)
+    df = join_per_key(df, fitted, keys).withColumn(out, F.col(value) * (high - low) + low)
     return df.drop(f"_min_{column}", f"_max_{column}")
 
 
@@ -190,7 +191,8 @@ def sequences_next(df: DataFrame, order: Order, features=SEQUENCE_FEATURES, leng
         .otherwise(size)
         .alias("_rows")
     )
-    return sequences(df.join(short, "series").where(F.col("_rows") > 0).drop("_rows"), order, features, length, 1)
+    rows = join_per_key(df, short, ("series",)).where(F.col("_rows") > 0).drop("_rows")
+    return sequences(rows, order, features, length, 1)
 
 
 def sequences_alternating(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.operators.features import SEQUENCE_FEATURES, flat_vector
+from tidebar.plans.joins import join_configured
 
 # Fixed default parameters of the models.
 MODEL_PARAMS = {
@@ -197,7 +198,7 @@ def weighted_combine(weights: dict[str, float]) -> Column:
 
 def combine_long(predictions: DataFrame, weights: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """M11 on long predictions and a weight table (horizon, model, w)."""
-    joined = predictions.join(weights, ["horizon", "model"])
+    joined = join_configured(predictions, weights, ("horizon", "model"))
     return joined.groupBy(*keys, "horizon").agg(F.sum(F.col("w") * F.col("predicted")).alias("predicted"))
 
 

@@ -11,6 +11,7 @@ from tidebar.operators.ewm import ewm_carry
 from tidebar.operators.features import FEATURE_CONTEXT, lag_features, moving_averages
 from tidebar.plans import zones
 from tidebar.plans.zones import Order
+from tidebar.sources.bars import lookback_slice
 
 # Fixed market hours, minutes of the day; both ends belong to the day.
 OPEN_MINUTE, CLOSE_MINUTE = 570, 960
@@ -148,10 +149,7 @@ def year_of_15min(
     rows = dedup_precedence(union_resolutions(parts), precedence).drop("resolution")
     if stage:
         rows = stage(rows, "united")
-    latest = rows.groupBy("series").agg(F.max("ts").alias("_latest"))
-    rows = rows.join(latest, "series").where(
-        F.col("ts") >= F.col("_latest") - F.expr(f"interval {days} days")
-    ).drop("_latest")
+    rows = lookback_slice(rows, f"{days} days")
     grid = calendar_grid(series_bounds(rows), weekdays_only=True, market_hours=True)
     aligned = reindex(grid, rows)
     if stage:

@@ -9,6 +9,7 @@ from tidebar.operators.evaluate import coverage, error_metrics
 from tidebar.operators.features import multi_horizon_targets
 from tidebar.operators.signals import STRATEGIES, long_signals
 from tidebar.plans import zones
+from tidebar.plans.joins import join_configured
 from tidebar.plans.zones import Order
 
 # Fixed constants.
@@ -69,6 +70,7 @@ def multi_horizon_backtest(
     """Error and interval coverage per timeframe and horizon.
 
     ``predicted`` is any column known at the row; the last close by default.
+    The keys are timeframes and horizons, whose number does not grow with the data.
     """
     rows = multi_horizon_targets(df, order, horizons)
     rows = rows.withColumnsRenamed({"target": "actual"}).withColumn("predicted", F.col(predicted))
@@ -77,7 +79,7 @@ def multi_horizon_backtest(
         (F.avg("predicted") + level * F.stddev_pop("predicted")).alias("high"),
     )
     e = error_metrics()
-    return rows.join(band, list(keys)).groupBy(*keys).agg(
+    return join_configured(rows, band, keys).groupBy(*keys).agg(
         e["mae"].alias("mae"), e["rmse"].alias("rmse"), coverage().alias("coverage"),
         F.count(F.lit(1)).alias("n"),
     )

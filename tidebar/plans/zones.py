@@ -11,8 +11,10 @@ cut into *zones* of about ``rows`` consecutive rows:
 2. ``enter`` joins the map, which sends every row to its own zone (``_core``)
    and copies the buckets within ``before``/``after`` positions of another zone
    to that zone as context. One shuffle on (series, _zone) follows, shared by
-   all windows an operator needs. Spark decides by the size of the map whether
-   to broadcast it; where it is too large, the rows are shuffled once more, on
+   all windows an operator needs. The map is written to the scratch folder
+   first: it is then computed once, not once per branch of the plan, and Spark
+   knows its size when it plans the join. A small map is broadcast and the rows
+   are shuffled only by zone; for a large one they are shuffled once more, on
    (series, bucket), whose groups are small by construction.
 3. ``leave`` keeps the core rows, each exactly once.
 
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidebar.functions.scalars import epoch_seconds
+from tidebar.session import stage
 
 ZONE_ROWS = 4096
 ZONE_ROWS_CONF = "spark.tidebar.zoneRows"
@@ -127,7 +130,7 @@ def window(order: Order) -> WindowSpec:
 def enter(df: DataFrame, order: Order, before: int = 0, after: int = 0) -> DataFrame:
     """Rows with ``_zone``, ``_core``, ``_pos`` (0-based, per keys) and ``_n`` (rows per keys)."""
     rows = zone_rows(df.sparkSession, order)
-    m = zone_map(df, order, before, after)
+    m = stage(zone_map(df, order, before, after), "zones")
     z = df.withColumn("_bucket", _bucket(order, rows)).join(m, [*order.keys, "_bucket"])
     w = window(order)
     start = F.first("_off").over(w.rowsBetween(Window.unboundedPreceding, 0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.scalars import total_order
 from tidebar.operators import clean
+from tidebar.plans.joins import join_per_key
 from tidebar.plans.zones import Order
 
 # Label -> (bar length in seconds, lookback), and the accepted request labels.
@@ -102,7 +103,7 @@ def lookback_slice(df: DataFrame, interval: str, keys: tuple[str, ...] = ("serie
     """Rows within ``interval`` of the latest row of their keys."""
     latest = df.groupBy(*keys).agg(F.max("ts").alias("_latest"))
     return (
-        df.join(latest, list(keys))
+        join_per_key(df, latest, keys)
         .where(F.col("ts") >= F.col("_latest") - F.expr(f"interval {interval}"))
         .drop("_latest")
     )
