@@ -128,7 +128,10 @@ def window(order: Order) -> WindowSpec:
 
 
 def enter(df: DataFrame, order: Order, before: int = 0, after: int = 0) -> DataFrame:
-    """Rows with ``_zone``, ``_core``, ``_pos`` (0-based, per keys) and ``_n`` (rows per keys)."""
+    """Rows with ``_zone``, ``_core``, ``_pos`` (0-based, per keys) and ``_n`` (rows per keys).
+
+    A row without a timestamp or without a key has no place in the order and is left out.
+    """
     rows = zone_rows(df.sparkSession, order)
     m = stage(zone_map(df, order, before, after), "zones")
     z = df.withColumn("_bucket", _bucket(order, rows)).join(m, [*order.keys, "_bucket"])

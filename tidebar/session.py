@@ -49,6 +49,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table and read it back.
 
@@ -65,7 +71,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def stage_once(spark: SparkSession, name: str, build) -> DataFrame:
     """Stage ``build()`` under ``name`` once per application, then reuse the table."""
     key = (spark.sparkContext.applicationId, name)
-    if key not in _staged:
+    if key not in _staged or not exists(spark, _staged[key]):
         df = build()
         path = new_path(spark, "".join(c if c.isalnum() else "_" for c in name)[-60:])
         df.write.parquet(path)

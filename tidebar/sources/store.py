@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidebar.session import exists
+
 # Fixed default parameters per model.
 DEFAULT_PARAMS = {
     "random_forest": {"trees": 200, "depth": 20, "min_split": 2, "min_leaf": 1},
@@ -83,10 +85,7 @@ def save_model(model: PipelineModel, path: str) -> None:
 def load_model(path: str) -> PipelineModel | None:
     """K7: the stored model, or None where nothing is stored."""
     spark = SparkSession.getActiveSession()
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    return PipelineModel.load(path)
+    return PipelineModel.load(path) if exists(spark, path) else None
 
 
 def save_weights(weights: DataFrame, path: str) -> None:
