@@ -8,12 +8,12 @@ import re
 import struct
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidebar.llm.common import col, whole
+from tidebar.llm.common import col, small
 
 # The pattern that cuts a text into pieces, and its form for texts of ASCII and Latin letters only.
 PIECES = regex.compile(
@@ -39,7 +39,7 @@ def pack(ids: list[int]) -> bytes:
 class Pieces(dict):
     """Packed ids of the pieces seen lately: two generations, the older one dropped when the newer is full."""
 
-    def __init__(self, encode, limit: int = 300_000):
+    def __init__(self, encode, limit: int = 120_000):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 
@@ -151,31 +151,34 @@ class _File:
         return self._broadcast.value
 
 
-def encode(df: DataFrame, text: str, tokenizer: str, out: str = "ids") -> DataFrame:
+def _mapped(df: DataFrame, column: str, tokenizer: str, out: str, kind: T.DataType, step, keep: bool) -> DataFrame:
+    """``df`` with ``out`` = step(bpe, value) for each value of ``column``; the column itself only with ``keep``."""
+    file = _File(df.sparkSession, tokenizer)
+    names = [c for c in df.columns if c != out and (keep or c != column)]
+    read = "_read" if column == out or not keep else column
+    given = df.select(*(col(c) for c in names), *([col(column).alias("_read")] if read == "_read" else []))
+    schema = T.StructType([*(given.schema[c] for c in names), T.StructField(out, kind)])
+
+    def run(batches):
+        bpe = _bpe(file)
+        for batch in small(batches):
+            made = pa.array([step(bpe, v) for v in batch.column(read).to_pylist()], pa.binary() if kind == T.BinaryType() else pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], names=[*names, out])
+
+    return given.mapInArrow(run, schema)
+
+
+def encode(df: DataFrame, text: str, tokenizer: str, out: str = "ids", keep: bool = True) -> DataFrame:
     """Adds ``out``: the ids of the whole text as packed little-endian unsigned 32-bit integers.
 
     ``tokenizer`` is the path of a vocabulary file on the driver. Null and empty
     texts have no ids. Strings of special tokens in a text become their ids.
     Pieces have no maximum length: a piece of n bytes takes O(n log n).
-    A column named ``out`` is replaced.
+    A column named ``out`` is replaced; the text column goes unless ``keep``.
     """
-    file = _File(df.sparkSession, tokenizer)
+    return _mapped(df, text, tokenizer, out, T.BinaryType(), lambda bpe, t: bpe.encode(t or ""), keep)
 
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        bpe = _bpe(file)
-        return pd.Series([bpe.encode(t) for t in texts])
-
-    return df.withColumn(out, ids(whole(text)))
 
-
-def decode(df: DataFrame, ids: str, tokenizer: str, out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ids: str, tokenizer: str, out: str = "decoded", keep: bool = True) -> DataFrame:
     """Adds ``out``: the text of packed ids. Null ids give an empty text; an id outside the vocabulary is an error."""
-    file = _File(df.sparkSession, tokenizer)
-
-    @F.pandas_udf("string")
-    def text(packed: pd.Series) -> pd.Series:
-        bpe = _bpe(file)
-        return pd.Series([bpe.decode(p) for p in packed])
-
-    return df.withColumn(out, text(F.coalesce(col(ids), F.lit(b""))))
+    return _mapped(df, ids, tokenizer, out, T.StringType(), lambda bpe, i: bpe.decode(i or b""), keep)

@@ -40,6 +40,13 @@ def importable(spark) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, *paths) if p)
 
 
+def small(batches, rows: int = 512):
+    """The batches in pieces of so many rows: Python then holds the objects of one piece, not of a whole batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
