@@ -55,9 +55,9 @@ CTES = {
     "macro": """SELECT 'orders' AS name, date_trunc('month', o_orderdate)::TIMESTAMP AS ts,
         round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2""",
     "quotes": f"""SELECT 'ALL' AS underlying, date_trunc('month', l_shipdate)::TIMESTAMP AS expiry,
-        CASE l_returnflag WHEN 'A' THEN 'call' ELSE 'put' END AS kind, {_LINE_PRICE} AS strike, l_discount AS iv
-        FROM lineitem WHERE l_returnflag IN ('A', 'R')""",
-    "articles": """SELECT doc_id, lang, source, text, substr(text, 1, 60) AS title,
+        CASE WHEN l_linenumber % 2 = 1 THEN 'call' ELSE 'put' END AS kind, {_LINE_PRICE} AS strike, l_discount AS iv
+        FROM lineitem""",
+    "articles": """SELECT doc_id, lang, source, text, split_part(text, chr(10), 1) AS title,
         TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id::INTEGER) AS published_at FROM documents""",
 }
 
@@ -143,13 +143,12 @@ def frame_ctes(source: str) -> dict[str, str]:
     e = ewm_sql(source, MEANS, ("e8", "e21", 9))
     fr = f"""SELECT i.series, i.ts, i.open, i.high, i.low, i.close, i.volume, i.rn,
         e8 AS ema12, e21 AS ema26, e8 - e21 AS macd, sig AS macd_signal, e8 - e21 - sig AS macd_histogram,
-        rsi, coalesce(sma20, 0) AS sma20, coalesce(upper_band, 0) AS upper_band, coalesce(lower_band, 0) AS lower_band,
-        coalesce(prev_close, 0) AS prev_close, tr, coalesce(atr, 0) AS atr,
+        rsi, {', '.join(f'coalesce(last_value({c} IGNORE NULLS) OVER ({keep}), 0) AS {c}' for c in ('sma20', 'upper_band', 'lower_band', 'prev_close', 'atr'))}, tr,
         coalesce(last_value(plus_di IGNORE NULLS) OVER ({keep}), 0) AS plus_di,
         coalesce(last_value(minus_di IGNORE NULLS) OVER ({keep}), 0) AS minus_di,
         adx, e9 AS ema9, e21 AS ema21, mfi, e8 - e21 AS impulse_macd, rsi AS impulse_rsi,
-        CASE WHEN round(e8 - e21 - sig, 6) > 0 AND round(rsi, 6) > round(prev_rsi, 6) THEN 'green'
-             WHEN round(e8 - e21 - sig, 6) < 0 AND round(rsi, 6) < round(prev_rsi, 6) THEN 'red' ELSE 'gray' END AS impulse_color
+        CASE WHEN e8 - e21 - sig > 1e-9 * abs(close) AND round(rsi, 6) > round(prev_rsi, 6) THEN 'green'
+             WHEN e8 - e21 - sig < -1e-9 * abs(close) AND round(rsi, 6) < round(prev_rsi, 6) THEN 'red' ELSE 'gray' END AS impulse_color
         FROM ind i JOIN ew ON ew.series = i.series AND ew.rn = i.rn"""
     return {**e, **indicator_ctes(source), "fr": fr}
 

@@ -17,7 +17,7 @@ from tidebar.plans import zones
 from tidebar.plans.joins import join_configured
 
 MODELS = ["m1", "m2", "m3", "m4"]
-HORIZONS = (12, 24, 48)
+HORIZONS = (12, 24, 36, 48, 72, 96)
 
 
 def wide_predictions(spark, sf, horizons=HORIZONS):

@@ -345,7 +345,7 @@ def q_walk_forward_metrics(spark, sf):
 
 
 _ED = f"""SELECT b.series, d.day, h.horizon, b.pos AS row, f.close AS actual, l.m + l.k * (b.pos + h.steps) AS predicted
-    FROM range(1, 30) d(day), {_STEPS} JOIN b ON b.pos >= d.day * 96 AND b.pos < d.day * 96 + h.steps
+    FROM (SELECT unnest(range(1, (SELECT max(n) // 96 + 1 FROM b))) AS day) d, {_STEPS} JOIN b ON b.pos >= d.day * 96 AND b.pos < d.day * 96 + h.steps
     JOIN l ON l.series = b.series AND l.pos = d.day * 96 - 1
     JOIN b f ON f.series = b.series AND f.pos = b.pos + h.steps
     WHERE d.day * 96 + h.steps < b.n AND h.steps >= 48"""

@@ -212,22 +212,22 @@ def q_news_window(spark, sf):
 
 _SENTIMENT = ctes(
     "articles",
-    w=r"""SELECT doc_id, unnest(regexp_split_to_array(lower(title), '[^\p{L}]+')) AS token FROM articles""",
-    lex=f"SELECT token, ({HASH.format('token')} % 201 - 100) / 100 AS polarity FROM (SELECT DISTINCT token FROM w WHERE token <> '') WHERE {HASH.format('token')} % 10 = 0",
-    s="""SELECT a.doc_id, coalesce(avg(l.polarity), 0) AS polarity FROM articles a LEFT JOIN w ON w.doc_id = a.doc_id
+    w=r"""SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS token FROM articles""",
+    lex=f"SELECT token, ({HASH.format('token')} % 201 - 100) / 100 AS polarity FROM (SELECT DISTINCT token FROM w WHERE token <> '')",
+    s="""SELECT a.doc_id, coalesce(avg(l.polarity::DECIMAL(18, 9)), 0) AS polarity FROM articles a LEFT JOIN w ON w.doc_id = a.doc_id
         LEFT JOIN lex l ON l.token = w.token GROUP BY a.doc_id""",
 )
 
 
 @query("title_sentiment", _SENTIMENT + f"SELECT doc_id, {rnd('polarity')} FROM s")
 def q_title_sentiment(spark, sf):
-    scored = N.title_sentiment(I.articles(spark, sf), I.lexicon(spark, sf), "doc_id")
+    scored = N.title_sentiment(I.articles(spark, sf), I.lexicon(spark, sf), "doc_id", "text")
     return rounded(scored.select("doc_id", "polarity"))
 
 
 @query("mean_sentiment", _SENTIMENT + "SELECT round(coalesce(avg(polarity), 0), 4) AS avg_sentiment, count(*) AS articles FROM s")
 def q_mean_sentiment(spark, sf):
-    return rounded(N.mean_sentiment(N.title_sentiment(I.articles(spark, sf), I.lexicon(spark, sf), "doc_id")), 4)
+    return rounded(N.mean_sentiment(N.title_sentiment(I.articles(spark, sf), I.lexicon(spark, sf), "doc_id", "text")), 4)
 
 
 @query(
@@ -299,13 +299,16 @@ def q_append_dedup(spark, sf):
 )
 def q_append_sentiment(spark, sf):
     path = new_path(spark, "sentiment")
-    score = N.mean_sentiment(N.title_sentiment(I.articles(spark, sf), I.lexicon(spark, sf), "doc_id"))
+    score = N.mean_sentiment(N.title_sentiment(I.articles(spark, sf), I.lexicon(spark, sf), "doc_id", "text"))
     for day in ("2024-10-18 12:00:00", "2024-10-19 12:00:00"):
         K.append_sentiment(score, path, F.lit(day))
     return rounded(spark.read.parquet(path), 4)
 
 
-def _naive(spark, sf, horizons=(12, 24)):
+HORIZONS = (12, 24, 36, 48, 72, 96)
+
+
+def _naive(spark, sf, horizons=HORIZONS):
     """Last close and yesterday's close as two forecasts, long."""
     bars = zones.over(I.bars_h(spark, sf).select("series", "ts", "close"), I.H, before=1, lag1=lambda w: F.lag("close").over(w))
     rows = multi_horizon_targets(bars, I.H, horizons).where(F.col("lag1").isNotNull())
@@ -315,12 +318,13 @@ def _naive(spark, sf, horizons=(12, 24)):
 
 
 _NAIVE = {
-    "l": f"""SELECT series, ts, close, lag(close) OVER {over()} AS lag1, lead(close, 12) OVER {over()} AS a12,
-        lead(close, 24) OVER {over()} AS a24 FROM bars_h""",
-    "n": """SELECT series, '12' AS horizon, a12 AS actual, 'close' AS model, close AS predicted FROM l WHERE lag1 IS NOT NULL AND a12 IS NOT NULL
-        UNION ALL SELECT series, '12', a12, 'lag1', lag1 FROM l WHERE lag1 IS NOT NULL AND a12 IS NOT NULL
-        UNION ALL SELECT series, '24', a24, 'close', close FROM l WHERE lag1 IS NOT NULL AND a24 IS NOT NULL
-        UNION ALL SELECT series, '24', a24, 'lag1', lag1 FROM l WHERE lag1 IS NOT NULL AND a24 IS NOT NULL""",
+    "l": f"""SELECT series, ts, close, lag(close) OVER {over()} AS lag1,
+        {', '.join(f"lead(close, {h}) OVER {over()} AS a{h}" for h in HORIZONS)} FROM bars_h""",
+    "n": " UNION ALL ".join(
+        f"SELECT series, '{h}' AS horizon, a{h} AS actual, '{m}' AS model, {m} AS predicted FROM l WHERE lag1 IS NOT NULL AND a{h} IS NOT NULL"
+        for h in HORIZONS
+        for m in ("close", "lag1")
+    ),
     "e": """SELECT model, horizon, avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse
         FROM n GROUP BY 1, 2""",
 }

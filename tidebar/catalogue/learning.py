@@ -165,7 +165,7 @@ def _sequence_fit(spark, sf, horizon, steps):
 def q_train_by_horizon(spark, sf):
     """Sequence model per market-hours horizon: train on the first 75 %, score the rest."""
     out = None
-    for horizon, steps in list(X.HORIZONS_MARKET.items())[:2]:
+    for horizon, steps in X.HORIZONS_MARKET.items():
         part = _sequence_fit(spark, sf, horizon, steps)
         out = part if out is None else out.unionByName(part)
     aggs = {**E.error_metrics(), **E.spread_interval()}

@@ -27,10 +27,10 @@ _CALM = f"(atr < {full('avg', 'atr', 10)})"
 _NEUTRAL = "rsi > 40 AND rsi < 60"
 _W = "(upper_band - lower_band)"
 _SIGNALS = {
-    "debit_spread_call": "round(ema9, 6) > round(ema21, 6) AND round(macd, 6) > round(macd_signal, 6) AND rsi < 70",
-    "debit_spread_put": "round(ema9, 6) < round(ema21, 6) AND round(macd, 6) < round(macd_signal, 6) AND rsi > 30",
-    "credit_spread_put": "close > lower_band AND rsi > 40 AND round(ema9, 6) > round(ema21, 6) AND calm",
-    "credit_spread_call": "close < upper_band AND rsi < 60 AND round(ema9, 6) < round(ema21, 6) AND calm",
+    "debit_spread_call": "ema9 - ema21 > 1e-9 * abs(close) AND macd - macd_signal > 1e-9 * abs(close) AND rsi < 70",
+    "debit_spread_put": "ema9 - ema21 < -1e-9 * abs(close) AND macd - macd_signal < -1e-9 * abs(close) AND rsi > 30",
+    "credit_spread_put": "close > lower_band AND rsi > 40 AND ema9 - ema21 > 1e-9 * abs(close) AND calm",
+    "credit_spread_call": "close < upper_band AND rsi < 60 AND ema9 - ema21 < -1e-9 * abs(close) AND calm",
     "iron_condor": f"{_W} < atr * 2 AND calm",
     "straddle": f"{_W} > atr * 2 AND {_NEUTRAL}",
     "strangle": f"{_W} > atr * 2 AND {_NEUTRAL}",

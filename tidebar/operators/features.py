@@ -89,7 +89,7 @@ def scaler(df: DataFrame, columns, keys: tuple[str, ...] = ("series",)) -> DataF
 
 def minmax_expr(c: str) -> Column:
     low, high = F.col(f"_min_{c}"), F.col(f"_max_{c}")
-    return F.when(high == low, F.lit(0.0)).otherwise((F.col(c) - low) / (high - low))
+    return F.when(F.col(c).isNotNull() & (high == low), F.lit(0.0)).otherwise((F.col(c) - low) / (high - low))
 
 
 def minmax_scale(

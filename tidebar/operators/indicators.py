@@ -20,6 +20,8 @@ FAST, SLOW, SIGNAL = 8, 21, 9
 RSI_ROWS = ATR_ROWS = ADX_ROWS = MFI_ROWS = 14
 BAND_ROWS, BAND_WIDTH = 20, 2
 PLACES = 6  # two values that agree to this many places count as equal
+#: Part of the price by which two means must differ to count as different.
+PART = 1e-9
 # Rows of context the composed frame needs: 14 + 14 for ADX, one lag, some spare.
 CONTEXT = 40
 
@@ -217,12 +219,13 @@ def with_macd(z: DataFrame, order: Order, fast: float = FAST, slow: float = SLOW
     return finish_macd(macd_carry(z, order, fast, slow, signal).apply(), order, fast, slow, signal)
 
 
-def impulse_color(histogram: str, rsi: str, previous_rsi: str, places: int = PLACES) -> Column:
-    """Compared after rounding, so that noise in the last digits decides nothing."""
-    hist, now, before = (F.round(c, places) for c in (histogram, rsi, previous_rsi))
+def impulse_color(histogram: str, rsi: str, previous_rsi: str, price: str = "close", places: int = PLACES) -> Column:
+    """The histogram counts above ``PART`` of the price, the RSI (0 to 100) is rounded, so that noise decides nothing."""
+    hist, least = F.col(histogram), PART * F.abs(F.col(price))
+    now, before = F.round(rsi, places), F.round(previous_rsi, places)
     return (
-        F.when((hist > 0) & (now > before), "green")
-        .when((hist < 0) & (now < before), "red")
+        F.when((hist > least) & (now > before), "green")
+        .when((hist < -least) & (now < before), "red")
         .otherwise("gray")
     )
 
@@ -248,17 +251,14 @@ INTERMEDIATE = (
 def zoned_indicators(z: DataFrame, order: Order) -> DataFrame:
     """I2–I19 on a zoned frame with ``CONTEXT`` rows of context.
 
-    The final fill (forward, then 0) travels with the means in one carry. Over
-    non-missing bars only the directional indices can be missing after the
-    warm-up (no movement in 14 rows), so only they need it; the other columns
-    are missing at the start alone, where a fill has nothing to bring.
+    The final fill (forward, then 0) travels with the means in one carry.
     """
     w = zones.window(order)
     z = z.withColumns(price_changes(w)).withColumns(movements()).withColumns(frames(w)).withColumns(values())
     z = z.withColumns({"adx": adx(w), "_prev_rsi": previous("rsi", w)})
     carry = macd_carry(z, order, extra={"ema9": ("close", 9), "ema21": ("close", 21)})
-    carry.fill_forward("plus_di", "plus_di")
-    carry.fill_forward("minus_di", "minus_di")
+    for c in WARMUP_COLUMNS:
+        carry.fill_forward(c, c)
     z = finish_macd(carry.apply(), order)
     z = z.withColumns(
         {

@@ -197,9 +197,11 @@ def weighted_combine(weights: dict[str, float]) -> Column:
 
 
 def combine_long(predictions: DataFrame, weights: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """M11 on long predictions and a weight table (horizon, model, w)."""
-    joined = join_configured(predictions, weights, ("horizon", "model"))
-    return joined.groupBy(*keys, "horizon").agg(F.sum(F.col("w") * F.col("predicted")).alias("predicted"))
+    """M11 on long predictions and a weight table (horizon, model, w); a prediction without a weight is an error."""
+    joined = join_configured(predictions, weights, ("horizon", "model"), "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no weight for"), "model", "horizon")).cast("double")
+    w = F.when(F.col("w").isNull(), missing).otherwise(F.col("w"))
+    return joined.groupBy(*keys, "horizon").agg(F.sum(w * F.col("predicted")).alias("predicted"))
 
 
 def simplex(models: int, parts: int) -> list[tuple[int, ...]]:

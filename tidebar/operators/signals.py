@@ -33,20 +33,22 @@ def calm(w: WindowSpec) -> Column:
     return F.col("atr") < indicators.full(F.avg, "atr", w, CALM_ROWS)
 
 
-def signal_columns(is_calm: Column, places: int = indicators.PLACES) -> dict[str, Column]:
+def signal_columns(is_calm: Column, part: float = indicators.PART) -> dict[str, Column]:
     """G1–G8 on indicator columns.
 
-    Means are compared after rounding: on the first row of a series they are
-    equal, and noise in the last digits must not fire a signal.
+    Means differ when they do so by more than ``part`` of the price: on the first
+    row of a series they are equal, and noise in the last digits must not fire a
+    signal, whatever the price level.
     """
     c = F.col
-    fast, slow, macd, smooth = (F.round(x, places) for x in ("ema9", "ema21", "macd", "macd_signal"))
-    up, down = fast > slow, fast < slow
+    least = part * F.abs("close")
+    trend, swing = c("ema9") - c("ema21"), c("macd") - c("macd_signal")
+    up, down = trend > least, trend < -least
     width = c("upper_band") - c("lower_band")
     wide, neutral = width > 2 * c("atr"), (c("rsi") > 40) & (c("rsi") < 60)
     return {
-        "debit_spread_call": flag(up & (macd > smooth) & (c("rsi") < 70)),
-        "debit_spread_put": flag(down & (macd < smooth) & (c("rsi") > 30)),
+        "debit_spread_call": flag(up & (swing > least) & (c("rsi") < 70)),
+        "debit_spread_put": flag(down & (swing < -least) & (c("rsi") > 30)),
         "credit_spread_put": flag((c("close") > c("lower_band")) & (c("rsi") > 40) & up & is_calm),
         "credit_spread_call": flag((c("close") < c("upper_band")) & (c("rsi") < 60) & down & is_calm),
         "iron_condor": flag((width < 2 * c("atr")) & is_calm),

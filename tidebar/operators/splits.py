@@ -66,7 +66,7 @@ def walk_forward(
 
 
 def expanding_daily(
-    df: DataFrame, order: Order, horizons: dict[str, int] = HORIZONS_CLOCK, days: int = 30, day_rows: int = 96,
+    df: DataFrame, order: Order, horizons: dict[str, int] = HORIZONS_CLOCK, days: int | None = None, day_rows: int = 96,
     least: int = 48, c: str = "close",
 ) -> DataFrame:
     """V7: per day and horizon, train on the rows before the day, validate on the next ``steps`` rows.
@@ -74,6 +74,7 @@ def expanding_daily(
     Each validation row is paired with the days whose window covers it, at most
     ``steps / day_rows`` of them, so no range join is needed. A horizon is
     skipped where fewer than ``least`` rows are left or the data ends before it.
+    ``days`` limits the days to the first ones; all by default.
     """
     reach = max(horizons.values())
     z = zones.enter(df, order, after=reach)
@@ -82,12 +83,15 @@ def expanding_daily(
     lines = z.where(F.col("_core") & ((F.col("_pos") + 1) % day_rows == 0))
     lines = lines.withColumns(trend_line()).select(
         "series", ((F.col("_pos") + 1) / day_rows).cast("long").alias("day"), "_slope", "_intercept"
-    ).where(F.col("day") < days)
+    )
+    if days is not None:
+        lines = lines.where(F.col("day") < days)
 
     pairs = []
     for label, steps in horizons.items():
         first = F.greatest(F.lit(1), F.floor((F.col("_pos") - steps) / day_rows) + 1)
-        last = F.least(F.lit(days - 1), F.floor(F.col("_pos") / day_rows))
+        last = F.floor(F.col("_pos") / day_rows)
+        last = last if days is None else F.least(F.lit(days - 1), last)
         ok = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
         actual = F.lead(c, steps).over(w)
         pairs.append(
@@ -99,9 +103,9 @@ def expanding_daily(
             )
         )
     # only rows inside some validation window are kept
-    z = z.withColumn("_pairs", F.array(*pairs)).where(
-        F.col("_core") & (F.col("_pos") < (days - 1) * day_rows + reach)
-    )
+    z = z.withColumn("_pairs", F.array(*pairs)).where("_core")
+    if days is not None:
+        z = z.where(F.col("_pos") < (days - 1) * day_rows + reach)
     rows = z.select("series", "_pos", "_n", F.inline("_pairs"))
     rows = rows.where(F.col("actual").isNotNull()).withColumn("day", F.explode("on"))
     rows = rows.where(

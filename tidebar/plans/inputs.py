@@ -92,15 +92,14 @@ def bars_d_flag(spark, sf) -> DataFrame:
 
 def quotes(spark, sf) -> DataFrame:
     """Option quotes: calls and puts with strike and implied volatility per monthly expiry."""
-    kind = F.when(F.col("l_returnflag") == "A", "call").when(F.col("l_returnflag") == "R", "put")
-    rows = table(spark, sf, "lineitem").select(
+    kind = F.when(F.col("l_linenumber") % 2 == 1, "call").otherwise("put")
+    return table(spark, sf, "lineitem").select(
         F.lit("ALL").alias("underlying"),
         F.trunc(F.col("l_shipdate").cast("date"), "month").cast("timestamp_ntz").alias("expiry"),
         kind.alias("kind"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("strike"),
         F.col("l_discount").alias("iv"),
     )
-    return rows.where(F.col("kind").isNotNull())
 
 
 def macro(spark, sf) -> DataFrame:
@@ -117,10 +116,10 @@ def macro(spark, sf) -> DataFrame:
 
 
 def articles(spark, sf) -> DataFrame:
-    """Documents as news: a title and an hour of publication."""
+    """Documents as news: the first line as title and an hour of publication."""
     published = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(hours=F.col("doc_id").cast("int"))
     return table(spark, sf, "documents").select(
-        "doc_id", "lang", "source", "text", F.substring("text", 1, 60).alias("title"), published.alias("published_at")
+        "doc_id", "lang", "source", "text", F.substring_index("text", "\n", 1).alias("title"), published.alias("published_at")
     )
 
 
@@ -141,12 +140,12 @@ def payloads(spark, sf) -> DataFrame:
 
 
 def lexicon(spark, sf) -> DataFrame:
-    """Word polarities: each tenth distinct title word, scored by its hash."""
+    """Word polarities: each distinct word, scored by its hash."""
     from tidebar.sources.macro_news import tokens
 
-    words = articles(spark, sf).select(F.explode(tokens("title")).alias("token")).distinct()
+    words = articles(spark, sf).select(F.explode(tokens("text")).alias("token")).distinct()
     h = key_hash("token")
-    return words.where(h % 10 == 0).select("token", ((h % 201 - 100) / 100).alias("polarity"))
+    return words.select("token", ((h % 201 - 100) / 100).alias("polarity"))
 
 
 def gappy(df: DataFrame, percent: int = 40) -> DataFrame:

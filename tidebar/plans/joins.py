@@ -9,7 +9,7 @@ SALTS = 16
 
 
 def join_per_key(df: DataFrame, per_key: DataFrame, keys: tuple[str, ...], spread: str = "ts") -> DataFrame:
-    """Inner join on ``keys`` that stays even when one key holds much of ``df``.
+    """Left join on ``keys`` that stays even when one key holds much of ``df``; a key without a row gets NULLs.
 
     The rows of a key are spread over salted copies of its one row. Where Spark
     broadcasts the small side by its own size check, the copies cost nothing;
@@ -17,13 +17,13 @@ def join_per_key(df: DataFrame, per_key: DataFrame, keys: tuple[str, ...], sprea
     """
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     rows = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    return rows.join(copies, [*keys, "_salt"]).drop("_salt")
+    return rows.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
 
-def join_configured(df: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Inner join with a table whose keys come from the configuration: models, horizons, timeframes.
+def join_configured(df: DataFrame, table: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """Join with a table whose keys come from the configuration: models, horizons, timeframes.
 
     Its size does not depend on the data, a few rows per model and horizon, so
     it is broadcast outright; a shuffle would gather all rows on those few keys.
     """
-    return df.join(F.broadcast(table), list(keys))
+    return df.join(F.broadcast(table), list(keys), how)

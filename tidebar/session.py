@@ -20,6 +20,7 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         # no call-site capture per expression: it doubles the time to build a large frame
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
