@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _scratch: dict[str, str] = {}
 _staged: dict[tuple[str, str], str] = {}
+_owners: list[list[str]] = []
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -56,6 +58,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+@contextlib.contextmanager
+def owned(paths: list[str]):
+    """Notes the tables that ``stage`` writes inside; their owner passes ``paths`` to ``discard`` when done with them."""
+    _owners.append(paths)
+    try:
+        yield paths
+    finally:
+        _owners.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables and forgets them."""
+    while paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table and read it back.
 
@@ -65,6 +84,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     the ticks.
     """
     path = new_path(df.sparkSession, name)
+    for paths in _owners[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
