@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,28 +11,45 @@ from pyspark.sql import functions as F
 from tidebar.llm import bpe, credentials, mixing, quality, simhash
 from tidebar.llm.common import col, importable, whole, words
 from tidebar.llm.queries import TOKENIZER, WEIGHTS
-from tidebar.session import stage
+from tidebar.session import discard, owned, stage
+
+_scratch: list[str] = []
+
+
+def _step(work):
+    """A stage whose scratch tables go when the next stage begins: its result has been written by then."""
+
+    @functools.wraps(work)
+    def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _scratch)
+        importable(spark)
+        with owned(_scratch):
+            return work(spark, docs, sf_dir)
+
+    return apply
 
 
+@_step
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose the lines that too many documents of their source share."""
     return _recounted(quality.clean(docs, "doc_id", "text", "source"))
 
 
+@_step
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
-    importable(spark)
     return simhash.dedup(docs, "doc_id", "text")
 
 
+@_step
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, reported spans masked."""
     return _recounted(credentials.mask(docs, "text"))
 
 
+@_step
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
-    importable(spark)
     columns = docs.columns
     given = stage(docs.select(F.struct(*(col(c) for c in columns)).alias("given"), F.monotonically_increasing_id().alias("at")), "mixture")
     field = F.col("given").getField
@@ -42,9 +61,9 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.select(*(field(c).alias(c) for c in columns))
 
 
+@_step
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, packed as little-endian unsigned 32-bit integers, instead of the text."""
-    importable(spark)
     path = public_tokenizers.path(TOKENIZER)
     coded = bpe.decode(bpe.encode(docs, "text", path), "ids", path)
     return coded.select(
