@@ -155,15 +155,15 @@ def _mapped(df: DataFrame, column: str, tokenizer: str, out: str, kind: T.DataTy
     """``df`` with ``out`` = step(bpe, value) for each value of ``column``; the column itself only with ``keep``."""
     file = _File(df.sparkSession, tokenizer)
     names = [c for c in df.columns if c != out and (keep or c != column)]
-    read = "_read" if column == out or not keep else column
-    given = df.select(*(col(c) for c in names), *([col(column).alias("_read")] if read == "_read" else []))
-    schema = T.StructType([*(given.schema[c] for c in names), T.StructField(out, kind)])
+    # names by place, as those of the caller may hold dots
+    given = df.select(*(col(c).alias(f"c{i}") for i, c in enumerate(names)), col(column).alias("read"))
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in names), T.StructField(out, kind)])
 
     def run(batches):
         bpe = _bpe(file)
         for batch in small(batches):
-            made = pa.array([step(bpe, v) for v in batch.column(read).to_pylist()], pa.binary() if kind == T.BinaryType() else pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], names=[*names, out])
+            made = pa.array([step(bpe, v) for v in batch.column("read").to_pylist()], pa.binary() if kind == T.BinaryType() else pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], made], names=[*names, out])
 
     return given.mapInArrow(run, schema)
 

@@ -63,9 +63,11 @@ def running_sums(df: DataFrame, order: list[Column], sums: list[str], name: str)
     columns = [F.coalesce(col(c), F.lit(0)).cast("long").alias(c) if c in sums else col(c) for c in df.columns]
     tied = df.select(*columns, tie)
     dealt = tied.repartitionByRange(partitions(df), *order, F.col("tie")).sortWithinPartitions(*order, "tie")
-    local = [f"{s}_local" for s in sums]
+    fields, local = dealt.schema.fields, [f"{s}_local" for s in sums]
+    places = {s: dealt.columns.index(s) for s in sums}
+    dealt = dealt.toDF(*(f"c{i}" for i in range(len(fields))))  # names of the caller may hold dots
     schema = T.StructType(
-        [*dealt.schema.fields, T.StructField("range", T.IntegerType()), *(T.StructField(s, T.LongType()) for s in local)]
+        [*fields, T.StructField("range", T.IntegerType()), *(T.StructField(s, T.LongType()) for s in local)]
     )
 
     def scan(batches):
@@ -73,11 +75,11 @@ def running_sums(df: DataFrame, order: list[Column], sums: list[str], name: str)
         for batch in batches:
             ends = []
             for i, s in enumerate(sums):
-                end = np.cumsum(batch.column(s).to_numpy(zero_copy_only=False)) + before[i]
+                end = np.cumsum(batch.column(places[s]).to_numpy(zero_copy_only=False)) + before[i]
                 before[i] = int(end[-1]) if len(end) else before[i]
                 ends.append(pa.array(end, pa.int64()))
             place = pa.array(np.full(batch.num_rows, at, np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, place, *ends], names=[*batch.schema.names, "range", *local])
+            yield pa.RecordBatch.from_arrays([*batch.columns, place, *ends], names=[*(f.name for f in fields), "range", *local])
 
     ranged = stage(dealt.mapInArrow(scan, schema), name)
     totals = ranged.groupBy("range").agg(*(F.max(s).alias(s) for s in local))

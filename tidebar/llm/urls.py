@@ -57,7 +57,7 @@ def judge(
 
     Pages that a rule decides are the labelled ones. A template's purity is the
     part of its labelled pages that are allowed, smoothed by ``strength`` pages of
-    the same template on all hosts, and that by the part on all pages. A page
+    the same path on all hosts (wildcards by form alone), and that by the part on all pages. A page
     without a rule is blocked when its template's purity is below ``purity``.
 
     Null urls and those without :// have an empty host and path and no rule; they
@@ -75,7 +75,7 @@ def judge(
     read = stage(read.drop("_parts"), "urls")
     # one row per host and path with its numbers of pages, labelled and allowed pages
     tree = read.groupBy("host", "path", "parts").agg(F.count("*").alias("n"), F.count("said").alias("told"), F.coalesce(F.sum(good), F.lit(0)).alias("good"))
-    tree = tree.withColumn("template", F.lit(""))
+    tree = tree.withColumns({"template": F.lit(""), "plain": F.array_join(F.transform("parts", segment), "/")})
     for level in range(LEVELS + 1):
         here = F.get(F.col("parts"), F.lit(level))
         tree = stage(tree.withColumn("seg", segment(here)), f"urls-{level}")
@@ -88,7 +88,7 @@ def judge(
         seldom = (F.col("kinds") > 1) & (F.col("n") < rare * F.col("pn"))
         mean = F.col("pgood") / F.greatest("ptold", F.lit(1))
         error = F.sqrt(F.greatest(mean * (1 - mean), F.lit(0.01)) / F.greatest("told", F.lit(1)))
-        same = (F.col("told") > 0) & (F.abs(F.col("good") / F.greatest("told", F.lit(1)) - mean) <= alike * error)
+        same = (F.col("kinds") > 1) & (F.col("told") > 0) & (F.abs(F.col("good") / F.greatest("told", F.lit(1)) - mean) <= alike * error)
         named = both.where((F.col("seg") != "*") & ~seldom & ~same).select(F.col("host").alias("bh"), F.col("template").alias("bt"), F.col("seg").alias("bs"))
         named = stage(named, f"urls-named-{level}")
         joined = tree.join(named, (F.col("host") == F.col("bh")) & (F.col("template") == F.col("bt")) & (F.col("seg") == F.col("bs")), "left")
@@ -99,11 +99,11 @@ def judge(
     all_told, all_good = tree.agg(F.coalesce(F.sum("told"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     overall = all_good / all_told if all_told else 1.0
     smooth = lambda prior: (F.col("good") + strength * prior) / (F.col("told") + strength)
-    every = stage(sums("template").select(F.col("template").alias("et"), smooth(F.lit(overall)).alias("everywhere")), "urls-every")
-    own = sums("host", "template").join(every, F.col("template") == F.col("et"))
-    own = stage(own.select(F.col("host").alias("oh"), F.col("template").alias("ot"), smooth(F.col("everywhere")).alias("purity")), "urls-purity")
-    paths = tree.select(F.col("host").alias("th"), F.col("path").alias("tp"), "template")
-    placed = paths.join(own, (F.col("th") == F.col("oh")) & (F.col("template") == F.col("ot"))).select("th", "tp", "template", "purity")
+    every = stage(sums("plain").select(F.col("plain").alias("ep"), smooth(F.lit(overall)).alias("everywhere")), "urls-every")
+    own = stage(sums("host", "template").select(F.col("host").alias("oh"), F.col("template").alias("ot"), "told", "good"), "urls-own")
+    paths = tree.select(F.col("host").alias("th"), F.col("path").alias("tp"), "template", "plain")
+    placed = paths.join(own, (F.col("th") == F.col("oh")) & (F.col("template") == F.col("ot"))).join(every, F.col("plain") == F.col("ep"))
+    placed = placed.select("th", "tp", "template", smooth(F.col("everywhere")).alias("purity"))
     placed = stage(placed, "urls-paths")
     out = read.join(placed, (F.col("host") == F.col("th")) & (F.col("path") == F.col("tp")))
     judged = F.coalesce("said", F.when(F.col("purity") < purity, F.lit("block")).otherwise(F.lit("allow")))
