@@ -344,7 +344,7 @@ def q_write_metrics(spark, sf):
         "bars_h",
         **_NAIVE,
         c="SELECT * FROM e WHERE model = 'lag1'",
-        b="SELECT horizon, mae * 0.85 AS bm, rmse * (CASE WHEN horizon = '12' THEN 1.0 ELSE 0.8 END) AS br FROM e WHERE model = 'close' AND horizon = '12' UNION ALL SELECT horizon, mae, rmse FROM e WHERE model = 'close' AND horizon = '24'",
+        b="SELECT horizon, mae * (CASE WHEN horizon = '12' THEN 0.85 ELSE 1.0 END) AS bm, rmse AS br FROM e WHERE model = 'close'",
     )
     + f"""SELECT horizon, CASE WHEN mae > bm * 1.1 OR rmse > br * 1.1 THEN 'keep' ELSE 'replace' END AS decision,
         {rnd('CASE WHEN mae > bm * 1.1 OR rmse > br * 1.1 THEN bm ELSE mae END AS mae',
