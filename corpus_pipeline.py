@@ -65,7 +65,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, packed as little-endian unsigned 32-bit integers, instead of the text."""
     path = public_tokenizers.path(TOKENIZER)
-    coded = bpe.decode(bpe.encode(docs, "text", path), "ids", path)
+    coded = bpe.codec(docs, "text", path)
     return coded.select(
         "doc_id",
         "source",

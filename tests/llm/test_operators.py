@@ -96,7 +96,12 @@ def test_bpe(spark, docs, rows):
         ids = t.encode(r[1] or "", add_special_tokens=False).ids
         want[r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
     assert multiset(map(tuple, QUERIES["op2_bpe_codec"](spark, docs).collect())) == want
-    coder = bpe.Bpe(open(public_tokenizers.path(TOKENIZER)).read())
+    path = public_tokenizers.path(TOKENIZER)
+    for keep in (True, False):
+        once = bpe.codec(table(spark, docs), "text", path, "a.b", keep=keep)
+        twice = bpe.decode(bpe.encode(table(spark, docs), "text", path, "a.b", keep=keep), "a.b", path)
+        assert once.columns == twice.columns and multiset(map(str, once.collect())) == multiset(map(str, twice.collect()))
+    coder = bpe.Bpe(open(path).read())
     for text in ("a" * 5000, "the " * 300 + "  \n", "\u00a0x\u2003y", "don't WE'll 12345 ¼ é"):
         ids = np.frombuffer(coder.encode(text), "<u4").tolist()
         assert ids == t.encode(text, add_special_tokens=False).ids and coder.decode(coder.encode(text)) == text

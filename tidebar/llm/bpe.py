@@ -151,19 +151,22 @@ class _File:
         return self._broadcast.value
 
 
-def _mapped(df: DataFrame, column: str, tokenizer: str, out: str, kind: T.DataType, step, keep: bool) -> DataFrame:
-    """``df`` with ``out`` = step(bpe, value) for each value of ``column``; the column itself only with ``keep``."""
+def _mapped(df: DataFrame, column: str, tokenizer: str, outs: dict[str, T.DataType], step, keep: bool) -> DataFrame:
+    """``df`` with the columns ``outs`` = step(bpe, value) for each value of ``column``; the column itself only with ``keep``."""
     file = _File(df.sparkSession, tokenizer)
-    names = [c for c in df.columns if c != out and (keep or c != column)]
+    names = [c for c in df.columns if c not in outs and (keep or c != column)]
     # names by place, as those of the caller may hold dots
     given = df.select(*(col(c).alias(f"c{i}") for i, c in enumerate(names)), col(column).alias("read"))
-    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in names), T.StructField(out, kind)])
+    fields = [T.StructField(c, df.schema[c].dataType) for c in names]
+    schema = T.StructType([*fields, *(T.StructField(out, kind) for out, kind in outs.items())])
+    kinds = [pa.binary() if kind == T.BinaryType() else pa.string() for kind in outs.values()]
 
     def run(batches):
         bpe = _bpe(file)
         for batch in small(batches):
-            made = pa.array([step(bpe, v) for v in batch.column("read").to_pylist()], pa.binary() if kind == T.BinaryType() else pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], made], names=[*names, out])
+            made = zip(*(step(bpe, v) for v in batch.column("read").to_pylist()))
+            arrays = [pa.array(values, kind) for values, kind in zip(made, kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *arrays], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
@@ -176,9 +179,19 @@ def encode(df: DataFrame, text: str, tokenizer: str, out: str = "ids", keep: boo
     Pieces have no maximum length: a piece of n bytes takes O(n log n).
     A column named ``out`` is replaced; the text column goes unless ``keep``.
     """
-    return _mapped(df, text, tokenizer, out, T.BinaryType(), lambda bpe, t: bpe.encode(t or ""), keep)
+    return _mapped(df, text, tokenizer, {out: T.BinaryType()}, lambda bpe, t: (bpe.encode(t or ""),), keep)
 
 
 def decode(df: DataFrame, ids: str, tokenizer: str, out: str = "decoded", keep: bool = True) -> DataFrame:
     """Adds ``out``: the text of packed ids. Null ids give an empty text; an id outside the vocabulary is an error."""
-    return _mapped(df, ids, tokenizer, out, T.StringType(), lambda bpe, i: bpe.decode(i or b""), keep)
+    return _mapped(df, ids, tokenizer, {out: T.StringType()}, lambda bpe, i: (bpe.decode(i or b""),), keep)
+
+
+def codec(df: DataFrame, text: str, tokenizer: str, ids: str = "ids", decoded: str = "decoded", keep: bool = True) -> DataFrame:
+    """:func:`encode`, then :func:`decode` of its ids, in one pass: one Python worker and one vocabulary per task."""
+
+    def step(bpe, t):
+        packed = bpe.encode(t or "")
+        return packed, bpe.decode(packed)
+
+    return _mapped(df, text, tokenizer, {ids: T.BinaryType(), decoded: T.StringType()}, step, keep)
