@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,6 +50,10 @@ def _tag(kind: int):
     return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x"))
 
 
+def _scan() -> list[Column]:
+    return [_pieces(p, n).alias(f"_{k}") for k, p, n, _ in (*BASE, *WEAK)]
+
+
 def find(df: DataFrame, key: list[str], text: str, reach: int = 300) -> DataFrame:
     """(row, key columns, spans) per row; spans: array of (start, end, kind), code points, end exclusive, sorted by
     start and then kind.
@@ -62,7 +69,14 @@ def find(df: DataFrame, key: list[str], text: str, reach: int = 300) -> DataFram
     repeated rows are scanned one by one. An empty table gives an empty result.
     """
     read = df.select(F.monotonically_increasing_id().alias("row"), *(col(k) for k in key), whole(text).alias("_text"))
-    found = stage(read.select("row", *key, *(_pieces(p, n).alias(f"_{k}") for k, p, n, _ in (*BASE, *WEAK))), "secrets")
+    found = stage(read.select("row", *key, *_scan()), "secrets")
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    out = found.join(_reported(found, reach), F.col("row") == F.col("of"), "left")
+    return out.select("row", *key, F.coalesce("spans", none).alias("spans"))
+
+
+def _reported(found: DataFrame, reach: int) -> DataFrame:
+    """(of, spans) of the rows of a scanned table that have any."""
     tagged = [F.transform(F.col(f"_{k}"), _tag(n)) for n, k in enumerate(KINDS)]
     empty = F.array().cast("array<struct<kind:int,x:struct<i:int,gap:int,len:int,counts:boolean>>>")
     rows = found.select("row", F.explode(F.concat(*(F.coalesce(t, empty) for t in tagged))).alias("p")).select("row", "p.kind", "p.x.*")
@@ -84,9 +98,7 @@ def find(df: DataFrame, key: list[str], text: str, reach: int = 300) -> DataFram
     )
     said = spans.where(F.col("kind") < len(BASE)).drop("part").unionByName(linked.drop("block", "part").distinct())
     lists = said.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
-    lists = lists.select(F.col("row").alias("of"), "spans")
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return found.join(lists, F.col("row") == F.col("of"), "left").select("row", *key, F.coalesce("spans", none).alias("spans"))
+    return lists.select(F.col("row").alias("of"), "spans")
 
 
 def listed(spans: Column) -> Column:
@@ -108,11 +120,14 @@ def base(spans: Column) -> Column:
 def mask(df: DataFrame, text: str, reach: int = 300, by: str = "[secret]") -> DataFrame:
     """All rows of ``df``, every reported span of ``text`` replaced by ``by``; spans that overlap or touch, by one.
 
-    ``df`` is written once with row numbers. A null text stays null.
+    ``df`` is written once with row numbers and matches. A null text stays null.
+    Texts without any match stay where they are, only the others meet their spans in a join.
     """
-    inner = stage(df.select(F.struct(*(col(c) for c in df.columns)).alias("given"), F.monotonically_increasing_id().alias("at")), "secret-rows")
-    spans = find(inner.select("at", F.col("given").getField(text).alias("text")), ["at"], "text", reach)
-    spans = spans.where(F.size("spans") > 0).select(F.col("at").alias("of"), "spans")
+    read = df.select(F.struct(*(col(c) for c in df.columns)).alias("given"), F.monotonically_increasing_id().alias("row"), whole(text).alias("_text"))
+    scanned = read.select("given", "row", *_scan())
+    matched = functools.reduce(operator.or_, (F.col(f"_{k}").isNotNull() for k in KINDS))
+    inner = stage(scanned.withColumn("matched", matched), "secret-rows")
+    spans = _reported(inner.where("matched"), reach)
     # each span stands for the text from where all before it ended up to its own start
     parts = spans.select("of", F.posexplode("spans").alias("i", "s")).select("of", "i", "s.start", "s.end")
     before = W.partitionBy("of").orderBy("i")
@@ -123,11 +138,12 @@ def mask(df: DataFrame, text: str, reach: int = 300, by: str = "[secret]") -> Da
     last = ends.groupBy("of").agg(F.max("upto").alias("last"))
     pieces = runs.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("i", "start", "past"))).alias("cuts"))
     pieces = pieces.join(last, "of")
-    t = F.col("given").getField(text)
-    out = inner.join(pieces, F.col("at") == F.col("of"), "left").withColumn("_t", t)
+    given = F.col("given")
+    out = inner.where("matched").join(pieces, F.col("row") == F.col("of"), "left").withColumn("_t", given.getField(text))
     shown = F.expr(
         "concat(array_join(transform(cuts, c -> substring(_t, cast(c.past + 1 AS int), cast(c.start - c.past AS int))), by), by, "
         "substring(_t, cast(last + 1 AS int)))"
     )
     out = out.withColumn("by", F.lit(by)).withColumn("_new", F.when(F.col("cuts").isNull(), F.col("_t")).otherwise(shown))
-    return out.select(*(F.col("_new").alias(c) if c == text else F.col("given").getField(c).alias(c) for c in df.columns))
+    masked = out.select(*(F.col("_new").alias(c) if c == text else given.getField(c).alias(c) for c in df.columns))
+    return inner.where("NOT matched").select(*(given.getField(c).alias(c) for c in df.columns)).union(masked)
