@@ -51,14 +51,12 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
     columns = docs.columns
-    given = stage(docs.select(F.struct(*(col(c) for c in columns)).alias("given"), F.monotonically_increasing_id().alias("at")), "mixture")
-    field = F.col("given").getField
-    sized = given.select("at", field("doc_id").alias("doc_id"), field("source").alias("source"), field("text").alias("text"))
-    sized = sized.select("at", "doc_id", "source", F.size(words(whole("text"))).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"))
-    mixed = mixing.mix(sized, "source", "size", mixing.cycled(WEIGHTS), ["doc_id", "text_hash"])
-    taken = stage(mixed.where("times > 0").select("at", "times"), "mixture-times")
-    out = given.join(taken, "at").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return out.select(*(field(c).alias(c) for c in columns))
+    row = F.struct(*(col(c) for c in columns)).alias("given")
+    size = F.size(words(whole("text"))).cast("long").alias("size")
+    given = docs.select(row, F.monotonically_increasing_id().alias("at"), "doc_id", "source", size, F.xxhash64("text").alias("text_hash"))
+    mixed = mixing.times(stage(given, "mixture"), "source", "size", mixing.cycled(WEIGHTS), ["doc_id", "text_hash"], "at")
+    out = mixed.where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return out.select(*(F.col("given").getField(c).alias(c) for c in columns))
 
 
 @_step

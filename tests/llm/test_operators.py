@@ -83,6 +83,15 @@ def test_mixture(spark, docs, rows):
     assert math.isclose(sum(rs[0]["target"] for rs in by.values()), sum(r["size"] for r in got))
 
 
+def test_times_equal_the_mixture(spark, docs):
+    given = table(spark, docs).withColumn("at", F.monotonically_increasing_id()).withColumn("n", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    args = "source", "n", mixing.cycled((5.0, 2.0, 1.0)), ["doc_id", "text"]
+    want = mixing.mix(given, *args, ties=("at",)).select("at", "times").collect()
+    got = mixing.times(given, *args, "at")
+    assert got.columns == ["times", *given.columns] and len({r["times"] for r in want}) > 2
+    assert multiset(map(tuple, got.select("at", "times").collect())) == multiset(map(tuple, want))
+
+
 def test_fill_caps_and_reshares(spark):
     sources = spark.createDataFrame([("a", 5.0, 10), ("b", 2.0, 100), ("c", 1.0, 1000), ("d", 5.0, 0)], "of string, weight double, total long")
     target = {r["of"]: r["target"] for r in mixing.fill(sources, 1110.0, 3.0).collect()}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import col, running_sums
+from tidebar.session import stage
 
 
 def fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFrame:
@@ -42,8 +43,14 @@ def cycled(weights: tuple[float, ...]):
     return assign
 
 
+def _places(seed: int, key: list[str], ties: tuple[str, ...]) -> list[Column]:
+    """What orders the rows of a source: the hash, then the columns themselves."""
+    return [F.xxhash64(F.lit(seed), *(col(k) for k in key)), *(col(k) for k in (*key, *ties))]
+
+
 def mix(
-    df: DataFrame, source: str, size: str, weight, key: list[str], share: float = 1.0, max_epochs: float = 3.0, seed: int = 42
+    df: DataFrame, source: str, size: str, weight, key: list[str], share: float = 1.0, max_epochs: float = 3.0, seed: int = 42,
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
     """Adds ``source_size``, ``target`` and ``times`` to every row: how often the mix takes it.
 
@@ -61,9 +68,9 @@ def mix(
     gives an empty result. The names this adds, ``drawn`` and ``<size>_to`` must
     not be in ``df``.
     """
-    drawn = df.withColumn("drawn", F.xxhash64(F.lit(seed), *(col(k) for k in key)))
-    order = [col(source).asc_nulls_last(), F.col("drawn"), *(col(k) for k in key)]
-    ran = running_sums(drawn, order, [size], "mix")
+    places = _places(seed, key, ties)
+    order = [col(source).asc_nulls_last(), F.col("drawn"), *places[1:]]
+    ran = running_sums(df.withColumn("drawn", places[0]), order, [size], "mix")
     end = col(f"{size}_to")
     sources = ran.groupBy(col(source).alias("of")).agg(F.sum(col(size)).alias("total"), F.min(end - col(size)).alias("start"))
     placed = running_sums(sources.withColumn("place", F.lit(1)), [F.col("of").asc_nulls_last()], ["place"], "mix-sources")
@@ -78,3 +85,23 @@ def mix(
     return out.select(
         *(col(c) for c in df.columns), F.col("total").alias("source_size"), "target", times.cast("long").alias("times")
     )
+
+
+def times(
+    df: DataFrame, source: str, size: str, weight, key: list[str], row: str, share: float = 1.0, max_epochs: float = 3.0, seed: int = 42
+) -> DataFrame:
+    """(``times``, columns of ``df``): the counts of :func:`mix`, rows equal in ``key`` told apart by the unique column ``row``.
+
+    For a stored ``df`` with wide columns, which are not shuffled: a source's
+    rows with one time more come first in its order, so the first row of those
+    with the lowest count, one per source, tells for every row how often it is
+    taken. Spark broadcasts that table by its own size check. The names ``times``,
+    ``of`` and ``edge`` must not be in ``df``.
+    """
+    mixed = mix(df.select(*(col(c) for c in dict.fromkeys((source, size, *key, row)))), source, size, weight, key, share, max_epochs, seed, (row,))
+    places = _places(seed, key, (row,))
+    place = F.struct(*(c.alias(f"p{i}") for i, c in enumerate(places)))
+    edges = stage(mixed.groupBy(col(source).alias("of")).agg(F.min(F.struct("times", place.alias("place"))).alias("edge")), "mix-edges")
+    out = df.join(edges, col(source).eqNullSafe(F.col("of")))
+    more = F.when(place < F.col("edge.place"), 1).otherwise(0)
+    return out.select((F.col("edge.times") + more).cast("long").alias("times"), *(col(c) for c in df.columns))
