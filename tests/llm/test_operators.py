@@ -142,6 +142,20 @@ def test_forward_recursion_is_exact():
     assert math.isclose(counts[:5].sum(), sum(map(len, seqs))) and math.isclose(counts[5:8].sum(), sum(len(s) - 1 for s in seqs))
 
 
+def test_words_outside_the_lexicon_have_emissions(spark):
+    importable(spark)
+    r = random.Random(4)
+    word = lambda topic: f"t{topic}w{r.randrange(40)}"
+    train = [(i, " ".join(f"m{i % 2} {word(i % 2)}" for _ in range(30)), False) for i in range(200)]
+    pure = [(1000 + i, " ".join(f"t{i % 2}w{j}" for j in range(40)), True) for i in range(2)]
+    mixed = [(1002, " ".join(f"t{j % 2}w{j}" for j in range(40)), True), (1003, "zz m0 zz", True)]
+    df = spark.createDataFrame([*train, *pure, *mixed], "id long, t string, held boolean").repartition(4)
+    got = {x["key"]: x for x in hmm.score(df, "id", "t", F.col("held"), lexicon=2, rounds=8).collect()}
+    assert len(got) == 204 and got[1003]["n_known"] == 2
+    gain = {k: got[k]["score"] - got[k]["base_score"] for k in (1000, 1001, 1002)}
+    assert min(gain[1000], gain[1001]) > gain[1002] + 1
+
+
 def test_secrets(spark, docs, rows):
     kinds = [
         ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
