@@ -308,6 +308,17 @@ def test_urls(spark):
     assert got[60][2:] == (None, "block") and got[100][2:] == (None, "allow")
 
 
+def test_small_sections_are_judged_by_their_labels(spark):
+    given = [f"http://big.com/de/{i}" for i in range(38)] + [f"http://big.com/fr/{i}" for i in range(100)]
+    given += [f"http://big.com/s{k}/{i}" for k in range(60) for i in range(30)]
+    given += [f"http://slugs.com/title-{i}-x" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(given)), "id long, url string")
+    got = urls.judge(df, "id", "url", RULES).collect()
+    assert {r["template"] for r in got if r["path"].startswith("/de/")} == {"/de/*"}
+    assert {r["verdict"] for r in got if r["path"].startswith("/s")} == {"allow"}
+    assert {r["template"] for r in got if r["host"] == "slugs.com"} == {"/*"}
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op6", "op9")])
 def test_empty_tables(spark, docs, name):
     assert QUERIES[name](spark, f"{docs}/none").count() == 0

@@ -10,6 +10,8 @@ from tidebar.session import stage
 
 #: Levels of the tree; what a path has beyond them is one segment more.
 LEVELS = 6
+#: From so many pages on, a segment is judged by its labels, whatever its part of the host.
+ENOUGH = 10
 
 
 def host(url: Column) -> Column:
@@ -49,7 +51,7 @@ def judge(
 
     Paths of a host form a tree by segment. From the root down, a segment is a
     wildcard if its form varies or if it has less than the part ``rare`` of the
-    pages at its place and at most one page on average of such siblings; then branches of one
+    pages at its place and under ``ENOUGH`` pages, and such siblings have about one page (under 1.5) on average; then branches of one
     parent whose labelled purity differs from their parent's by no more than
     ``alike`` standard errors are merged into the wildcard. Every level is one
     aggregate of (host, template, segment) counts, so a host with a third of all
@@ -82,10 +84,14 @@ def judge(
         branch = tree.where("seg IS NOT NULL").groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "told", "good")))
         branch = stage(branch, f"urls-branch-{level}")
         parent = branch.groupBy(F.col("host").alias("ph"), F.col("template").alias("pt")).agg(
-            F.sum("n").alias("pn"), F.sum("told").alias("ptold"), F.sum("good").alias("pgood"), F.count("*").alias("kinds")
-        )
+            F.sum("n").alias("pn"), F.sum("told").alias("ptold"), F.sum("good").alias("pgood"), F.count("*").alias("kinds"),
+            *(F.count_if(F.col("n") == k).alias(f"with{k}") for k in range(1, ENOUGH)),
+        )
         both = branch.join(parent, (F.col("host") == F.col("ph")) & (F.col("template") == F.col("pt")))
-        seldom = (F.col("kinds") > 1) & (F.col("n") < rare * F.col("pn"))
+        few = lambda n: (n < rare * F.col("pn")) & (n < ENOUGH)
+        siblings = [(k, F.when(few(F.lit(k)), F.col(f"with{k}")).otherwise(0)) for k in range(1, ENOUGH)]
+        single = sum(k * c for k, c in siblings) < 1.5 * sum(c for _, c in siblings)
+        seldom = (F.col("kinds") > 1) & few(F.col("n")) & single
         mean = F.col("pgood") / F.greatest("ptold", F.lit(1))
         error = F.sqrt(F.greatest(mean * (1 - mean), F.lit(0.01)) / F.greatest("told", F.lit(1)))
         same = (F.col("kinds") > 1) & (F.col("told") > 0) & (F.abs(F.col("good") / F.greatest("told", F.lit(1)) - mean) <= alike * error)
