@@ -198,6 +198,18 @@ def test_frequent_lines(spark):
     assert set(kept) == set(range(12)) and kept[5] == prose(5, 60)
 
 
+@pytest.mark.parametrize("times", [1, 8])
+def test_frequent_lines_go_by_their_share(spark, times):
+    # of 40 documents a host, 12 have the one line and 2 the other; the null host is a host
+    line = lambda i: "Menu Home\n" if i % 40 < 12 else "Chapter one\n" if i % 40 < 14 else ""
+    given = [(1000 * k + i, line(i) + prose(1000 * k + i, 60), host) for k, host in enumerate(("h", None)) for i in range(40 * times)]
+    df = spark.createDataFrame(given, "id long, t string, host string")
+    kept = {r["id"]: r["t"] for r in quality.clean(df, "id", "t", "host").collect()}
+    assert len(kept) == len(given)
+    assert sum(t.startswith("Menu") for t in kept.values()) == 2
+    assert sum(t.startswith("Chapter") for t in kept.values()) == 4 * times
+
+
 def test_simhash(spark, docs, rows):
     def code(text):
         w = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()).split()

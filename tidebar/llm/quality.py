@@ -66,12 +66,13 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, SPACE, " "))))
 
 
-def judge(df: DataFrame, key: str, text: str, host: str, max_documents: int = 100, depleted: float = 0.5) -> DataFrame:
+def judge(df: DataFrame, key: str, text: str, host: str, max_documents: int = 10, share: float = 0.1, depleted: float = 0.5) -> DataFrame:
     """(row, key, METRICS, base_failed, removed, kept) per row, ``removed`` an array of hashes of lines to take out.
 
-    A line (hash of its normalised form) found in more than ``max_documents``
-    distinct documents of one host is taken out of all of them but the first by
-    ``key``; documents with equal texts count once. A document is rejected when
+    A line (hash of its normalised form) found in more than the part ``share`` of
+    the distinct documents of one host, and in more than ``max_documents`` of them,
+    is taken out of all of them but the first by ``key``; documents with equal
+    texts count once on both sides, so verdicts do not depend on the table's size. A document is rejected when
     the base rules fail or when more than the part ``depleted`` of its words goes.
 
     Null texts are empty (rejected: no words); null hosts are one host; a null
@@ -87,10 +88,14 @@ def judge(df: DataFrame, key: str, text: str, host: str, max_documents: int = 10
     )
     each = counted.select("row", "key", "host", "document", F.explode("lines").alias("line"))
     each = each.select("row", "key", "host", "document", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
+    hosts = counted.groupBy("host").agg(F.count_distinct("document").alias("documents"))
+    hosts = stage(hosts.select(F.col("host").alias("in_host"), "documents"), "quality-hosts")
     frequent = (
         each.groupBy("host", "h")
         .agg(F.count_distinct("document").alias("n"), F.min("key").alias("first"))
         .where(F.col("n") > max_documents)
+        .join(hosts, F.col("host").eqNullSafe(F.col("in_host")))
+        .where(F.col("n") > share * F.col("documents"))
         .select(F.col("host").alias("of"), F.col("h").alias("hash"), "first")
     )
     frequent = stage(frequent, "quality-lines")
@@ -112,7 +117,7 @@ def judge(df: DataFrame, key: str, text: str, host: str, max_documents: int = 10
     )
 
 
-def clean(df: DataFrame, key: str, text: str, host: str, max_documents: int = 100, depleted: float = 0.5) -> DataFrame:
+def clean(df: DataFrame, key: str, text: str, host: str, max_documents: int = 10, share: float = 0.1, depleted: float = 0.5) -> DataFrame:
     """The kept rows of ``df`` with the lines above the limit taken out of ``text``; see :func:`judge`.
 
     A line once in a text and once more in it goes both times; lines without a
@@ -122,7 +127,7 @@ def clean(df: DataFrame, key: str, text: str, host: str, max_documents: int = 10
     given = inner.select(
         "at", F.col("given").getField(key).alias("key"), F.col("given").getField(text).alias("text"), F.col("given").getField(host).alias("host")
     )
-    verdict = judge(given.select("at", "text", "host", "key"), "at", "text", "host", max_documents, depleted)
+    verdict = judge(given.select("at", "text", "host", "key"), "at", "text", "host", max_documents, share, depleted)
     kept = verdict.where("kept").select(F.col("key").alias("of"), "removed")
     out = inner.join(kept, F.col("at") == F.col("of"), "inner").withColumn("_t", F.col("given").getField(text))
     rest = F.filter(F.split("_t", "\n", -1), lambda line: ~F.array_contains("removed", line_key(line)))
