@@ -297,6 +297,28 @@ def test_main_text(spark):
     assert got[0] == got[29] == want and got[102] == want and got[100] == got[101] == ""
 
 
+WORDS = "<h1>Head</h1><p>" + "some words of the text " * 8 + "</p>"
+BODY = "Head\n" + " ".join(["some words of the text"] * 8)
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="page has-sidebar"><article>{}</article><div class="sidebar"><p>a side note</p></div></div>',
+    '<div class="page has-sidebar"><article>{}</article><div class="comments"><article class="comment-body"><p>a reader</p></article></div></div>',
+    '<div id="content" class="with-comments">{}</div><div class="comments"><p>a reader comment</p></div>',
+    '<div class="has-sidebar"><div class="with-comments"><main>{}</main></div></div>',
+    '<article><svg viewBox="0 0 1 1"/>{}</article>', '<article><math/>{}</article>', '<article><svg>{}</article>', '<article><select>{}</article>',
+])
+def test_wrappers_and_unclosed_elements_keep_the_article(page):
+    assert extraction.main_text("<body>" + page.format(WORDS), extraction.Weights({}, {})) == BODY
+
+
+def test_asides_stay_out():
+    weights = extraction.Weights({}, {})
+    for aside in ('<div class="comments"><p>{}</p></div>', '<div class="related"><article><p>{}</p></article></div>'):
+        assert extraction.main_text(f"<article>{WORDS}</article>" + aside.format("other words " * 50), weights) == BODY
+    assert extraction.main_text(f"<p>{WORDS}<script>var a; <p>no text", weights).split("\n")[-1] == BODY.split("\n")[-1]
+
+
 def test_best_run():
     r = np.random.default_rng(2)
     for _ in range(200):

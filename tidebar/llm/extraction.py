@@ -53,22 +53,46 @@ class Reader:
     Elements that hold no article by their name or by a cue in class, id or role
     become one tag, their words are no candidates. ``in_main`` tells whether a
     piece stands in an article or main element, which labels the page.
+
+    On a page without a readable such element, what a cue leaves out may be the
+    page's wrapper ("has-sidebar"). Elements with a cue around the first article or
+    main element without one are read if they hold no other, or over half of the
+    words; where there is none, elements with a cue and over half of the words are.
     """
 
     def __init__(self, page: str):
         self.parts: list[Part] = []
         self.labelled = False
-        self._read(page)
+        cued, total = self._read(page, frozenset())
+        if not self.labelled:
+            # begin, words before, words up to its end, main elements likewise
+            wrappers = [x for x in cued if 2 * (x[2] - x[1]) > total or x[4] - x[3] == 1]
+            wrappers = [x for x in wrappers if x[3] == 0 < x[4]] or [x for x in wrappers if 2 * (x[2] - x[1]) > total]
+            if wrappers:
+                self.parts = []
+                self._read(page, frozenset(x[0] for x in wrappers))
+
+    def _read(self, page: str, spared: frozenset[int]) -> tuple[list[list[int]], int]:
+        """Fills ``parts``; elements with a cue that begin at ``spared`` are read. Returns those with a cue, and the number of words."""
+        cued: list[list[int]] = []
+        opened: list[tuple[int, list[int]]] = []  # depth, element with a cue
+        hard = None  # depth at which an element began that is left out without a cue
+        total = mains = 0
+        endless: set[str] = set()  # names without an end tag from here on
+
+        def close(depth: int) -> None:
+            while opened and opened[-1][0] >= depth:
+                opened.pop()[1][2::2] = total, mains
 
-    def _read(self, page: str) -> None:
         stack: list[tuple[str, str, bool]] = []  # name, feature, main
         skip = None  # depth at which a left-out element began
         at = 0
         while m := TOKENS.match(page, at):
             at = m.end()
             if (text := m["text"]) is not None:
+                words = len(text.split()) if hard is None else 0
+                total += words
                 if skip is None:
-                    words = len(text.split())
                     self.parts.append((self._where(stack), words, text, any(x[2] for x in stack)))
                 continue
             name = (m["name"] or m["name2"] or "").lower()
@@ -77,8 +101,8 @@ class Reader:
             if m["end"] or m["end2"]:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
                 if depth is not None:
-                    if skip is not None and depth <= skip:
-                        skip = None
+                    skip, hard = (None if d is not None and depth <= d else d for d in (skip, hard))
+                    close(depth)
                     del stack[depth:]
                 if skip is None:
                     self._tag(name, "/", stack)
@@ -87,8 +111,8 @@ class Reader:
                 # an open paragraph ends here
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
                 if depth is not None and all(x[0] in INLINE for x in stack[depth + 1 :]):
-                    if skip is not None and depth <= skip:
-                        skip = None
+                    skip, hard = (None if d is not None and depth <= d else d for d in (skip, hard))
+                    close(depth)
                     del stack[depth:]
             rest = m["rest"] if m["rest"] is not None else m["rest2"] or ""
             attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {}
@@ -98,19 +122,36 @@ class Reader:
             if skip is None:
                 self._tag(name, "", stack)
             if name in RAW:
-                # its content is no markup: up to its end tag
+                # its content is no markup: up to its end tag; without one it is empty, but for code, which goes to the end
+                if name in endless or name in ("svg", "math") and rest.endswith("/"):
+                    continue
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if end:
+                    at = end.end()
+                elif name in ("script", "style"):
+                    at = len(page)
+                else:
+                    endless.add(name)
                 continue
             if name in VOID or rest.endswith("/"):
                 continue
             hidden = "hidden" in rest.split() or re.search(r"display\s*:\s*none", attributes.get("style", ""))
-            out = name in ASIDE and not (name == "header" and inside) or (not main and name != "body" and CUES.search(named)) or hidden
+            never = name in ASIDE and not (name == "header" and inside) or hidden
+            cue = bool(CUES.search(named))
+            if never and hard is None:
+                hard = len(stack)
+            if hard is None and cue and not main and name != "body":
+                cued.append([m.start(), total, total, mains, mains])
+                opened.append((len(stack), cued[-1]))
+            mains += hard is None and main and not cue
+            out = never or (not main and name != "body" and cue and m.start() not in spared)
             if skip is None and out:
                 skip = len(stack)
             if main and skip is None:
                 self.labelled = True
             stack.append((name, f"{name}.{SPACES.split(attributes.get('class', '').strip())[0].lower()}", main and skip is None))
+        close(0)
+        return cued, total
 
     def _tag(self, name: str, end: str, stack) -> None:
         self.parts.append((f"<{end}{name}", 0, f"{end}{name}", any(x[2] for x in stack)))
