@@ -186,3 +186,20 @@ def test_index_is_minimal_and_perfect(n):
     assert (index.find(hashes, prints + np.uint64(1)) == -1).all()
     with pytest.raises(ValueError):
         token_files.Index.build(np.zeros(2, np.uint64), np.zeros((2, 5), np.uint64))
+
+
+def test_pieces_equal_whole_texts():
+    """Texts of all kinds of letters, coded piece by piece where that is safe, against the library."""
+    spec = open(public_tokenizers.path(FILE_TOKENIZER)).read()
+    library, r = Tokenizer.from_str(spec), random.Random(3)
+    latin = [chr(c) for c in [*range(0xC0, 0x180), *range(0x61, 0x7B)] if c not in (0xD7, 0xF7, 0x130)] + list("'s't're've'm'll'd'S'LL") + list(" \t\n\x0b\x0c\r\x1c\x1f\x00\x7f")
+    mixed = [*latin, *map(chr, range(0x80, 0x250)), "e\u0301", "\u0307", "漢", "¼", "ß", "\u2003", "“", "<|endoftext|>", "<|", "|>", "\u1e9e", "Σ", "ς", "\U0001f600", "ﬁ"]
+    ascii_ = [chr(c) for c in range(128)]
+    texts = ["".join(r.choice(kind) for _ in range(r.randrange(60))) for _ in range(2000) for kind in (latin, mixed, ascii_)]
+    coder = token_files.Coder(spec, 2, limit=500)
+    assert coder.by_piece and not token_files.Coder(open(public_tokenizers.path("byte_bpe_50k.json")).read(), 2).by_piece
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        want = [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch(part, add_special_tokens=False)]
+        assert coder.encode(part) == want
+    assert sum(not token_files.BEYOND_LATIN.search(t) for t in texts) > 3000

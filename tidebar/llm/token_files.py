@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 import pyarrow.fs
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import col, partitions, small, whole
@@ -163,45 +164,71 @@ def _get(folder: str, name: str) -> bytes:
 
 # ---- writing
 
-_loaded: dict[int, object] = {}
+# Letters that are their own NFC form and whose lower case is one of these, and the pieces of texts of these and ASCII.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+LATIN_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\s0-9{LATIN}]+", re.ASCII)
+BEYOND_LATIN = re.compile(rf"[^\x00-\x7f{LATIN}]|<\|")
 
+_loaded: dict = {}
 
-def _tokenizer(broadcast):
-    """One per Python worker, without threads of its own: Spark's tasks are the parallel ones."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    text = broadcast.value
-    if hash(text) not in _loaded:
-        _loaded.clear()
-        made = _loaded[hash(text)] = Tokenizer.from_str(text)
-        made.no_truncation()
-        made.no_padding()
-    return _loaded[hash(text)]
 
+class Coder:
+    """Packed ids of whole texts by the tokenizers library, for vocabularies that lower-case and cut as ``LATIN_PIECES`` does.
 
-def encode(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int) -> tuple[DataFrame, int]:
-    """(key, n, ids) per row, ``ids`` packed in the width that is returned too: 2 bytes where the vocabulary fits, else 4."""
-    from tokenizers import Tokenizer
+    Such a vocabulary codes each piece for itself, so in texts of ASCII and Latin
+    letters every distinct piece is given to the library once, as long as the
+    ``limit`` of remembered pieces allows. Other texts, those with strings that
+    begin like special tokens, and all texts of other vocabularies are given whole.
+    """
 
-    with open(tokenizer, encoding="utf-8") as f:
-        spec = f.read()
-    width = 2 if max(Tokenizer.from_str(spec).get_vocab_size(True), end_id + 1) <= 1 << 16 else 4
-    sent = df.sparkSession.sparkContext.broadcast(spec)  # as large as the vocabulary
-    given = df.select(col(key).alias("key"), whole(text).alias("text"))
+    def __init__(self, spec: str, width: int, limit: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
+        from tokenizers import Tokenizer
+
+        self.library, self.kind, self.limit = Tokenizer.from_str(spec), f"<u{width}", limit
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.known: dict[str, bytes] = {}
+        self.by_piece = _cuts_pieces(json.loads(spec))
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [self.by_piece and not BEYOND_LATIN.search(t) for t in texts]
+        others = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
+        found = [LATIN_PIECES.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
+        asked = {x for f in found if f for x in f}
+        new = asked.difference(self.known)
+        if len(self.known) + len(new) > self.limit:
+            self.known, new = {}, asked
+        ordered = list(new)
+        self.known.update(zip(ordered, self.whole(ordered)))
+        return [next(others) if f is None else b"".join(map(self.known.__getitem__, f)) for f in found]
+
+
+def _cuts_pieces(spec: dict) -> bool:
+    """Whether a tokenizer's normalizer and cuts are those that ``LATIN_PIECES`` stands for."""
+    pattern = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    steps = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    special = [t["content"] for t in spec.get("added_tokens", [])]
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == steps
+        and (cuts[0].get("pattern"), cuts[0].get("behavior"), cuts[0].get("invert")) == ({"Regex": pattern}, "Removed", True)
+        and [{**c, "trim_offsets": True} for c in cuts[1:]] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        and all(t.startswith("<|") for t in special)
+        and not spec.get("post_processor")
+    )
 
-    def run(batches):
-        coder = _tokenizer(sent)
-        for batch in small(batches, 256):
-            found = coder.encode_batch_fast(batch.column("text").to_pylist(), add_special_tokens=False)
-            ids = [np.array([*e.ids, end_id], f"<u{width}") for e in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                names=["key", "n", "ids"],
-            )
 
-    kind = given.schema["key"].dataType.simpleString()
-    return given.mapInArrow(run, f"key {kind}, n long, ids binary"), width
+def _coder(broadcast, width: int) -> Coder:
+    """One per Python worker."""
+    spec = broadcast.value
+    if hash((spec, width)) not in _loaded:
+        _loaded.clear()
+        _loaded[hash((spec, width))] = Coder(spec, width)
+    return _loaded[hash((spec, width))]
 
 
 def write(
@@ -210,9 +237,10 @@ def write(
 ) -> None:
     """Write the ids of every whole text, each followed by ``end_id``, in ascending order of ``key``.
 
-    Rows are dealt in ranges of the key, about ``shard_bytes`` of ids each, and a
-    task streams its range to one shard. The index is dealt by key hash into files
-    of about ``index_keys`` keys, each built by one task.
+    Texts are dealt in ranges of the key, about ``shard_bytes`` of text each, and a
+    task codes its range and streams it to one shard; ids are never shuffled. The
+    index is dealt by key hash into files of about ``index_keys`` keys, each built
+    by one task. Ids take two bytes where the vocabulary fits, else four.
 
     Null and empty texts have the end id only. Null keys stand first and are one
     key; rows of equal keys stand in input order, may lie in several shards, and
@@ -220,37 +248,38 @@ def write(
     An empty table gives a dataset without shards. Extra columns are left out.
     Strings of special tokens in a text become their ids, as the library does.
     """
-    spark = df.sparkSession
-    coded, width = encode(df, key, text, tokenizer, end_id)
-    coded = stage(coded, "token-ids")
-    total = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * width
+    from tokenizers import Tokenizer
+
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = f.read()
+    width = 2 if max(Tokenizer.from_str(spec).get_vocab_size(True), end_id + 1) <= 1 << 16 else 4
+    end = np.array([end_id], f"<u{width}").tobytes()
+    sent = df.sparkSession.sparkContext.broadcast(spec)  # as large as the vocabulary
     _open(folder)[0].create_dir(_open(folder)[1], recursive=True)
 
     def save(batches):
         shard, row, offset, files = TaskContext.get().partitionId(), 0, 0, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in small(batches, 256):
             if not files:
                 files = [_Whole(folder, f"shard-{shard:05d}.{kind}") for kind in ("ids", "ends")]
-            n = batch.column("n").to_numpy()
+            coded = _coder(sent, width).encode(batch.column("text").to_pylist())
+            n = np.array([len(x) // width + 1 for x in coded], np.int64)
             ends = offset + np.cumsum(n)
-            for x in batch.column("ids"):
-                files[0].stream.write(x.as_buffer())
+            files[0].stream.write(b"".join(x + end for x in coded))
             files[1].stream.write(ends.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(np.full(len(n), shard, np.int64)), pa.array(row + np.arange(len(n))), pa.array(ends - n), batch.column("n")],
+                [batch.column("key"), pa.array(np.full(len(n), shard, np.int64)), pa.array(row + np.arange(len(n))), pa.array(ends - n), pa.array(n)],
                 names=["key", "shard", "row", "offset", "n"],
             )
             row, offset = row + len(n), int(ends[-1])
         for file in files:
             file.close()
 
-    tie = F.monotonically_increasing_id().alias("tie")
+    total = df.agg(F.sum(F.octet_length(col(text)).cast("long"))).first()[0] or 0
+    given = df.select(col(key).alias("key"), whole(text).alias("text"), F.monotonically_increasing_id().alias("tie"))
     order = [F.col("key").asc_nulls_first(), F.col("tie")]
-    shards = max(-(-total // shard_bytes), partitions(df))
-    dealt = coded.select("key", "n", "ids", tie).repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    kind = coded.schema["key"].dataType.simpleString()
+    dealt = given.repartitionByRange(max(-(-total // shard_bytes), partitions(df)), *order).sortWithinPartitions(*order).select("key", "text")
+    kind = given.schema["key"].dataType.simpleString()
     entries = stage(dealt.mapInArrow(save, f"key {kind}, shard long, row long, offset long, n long"), "token-entries")
     # one row per shard
     sizes = entries.groupBy("shard").agg(F.count("*").alias("docs"), F.sum("n").alias("ids")).orderBy("shard").collect()
@@ -362,7 +391,6 @@ def read(keys: DataFrame, key: str, folder: str, chunk: int = 1024) -> DataFrame
     shards front to back. Unknown keys have no row; a key asked for twice has its
     documents twice.
     """
-    spark = keys.sparkSession
     meta = Dataset(folder).meta
     given = keys.select(col(key).alias("key"), *_hashes(key))
     kind = given.schema["key"].dataType.simpleString()
