@@ -164,9 +164,9 @@ def _get(folder: str, name: str) -> bytes:
 
 # ---- writing
 
-# Letters that are their own NFC form and whose lower case is one of these, and the pieces of texts of these and ASCII.
-LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
-LATIN_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\s0-9{LATIN}]+", re.ASCII)
+# Letters that are their own NFC form and whose lower case is one of these, and the pieces of lower-case texts of these and ASCII.
+LATIN = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+LATIN_PIECES = re.compile(rf"[{LATIN}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{LATIN}]+", re.ASCII)
 BEYOND_LATIN = re.compile(rf"[^\x00-\x7f{LATIN}]|<\|")
 
 _loaded: dict = {}
@@ -177,8 +177,9 @@ class Coder:
 
     Such a vocabulary codes each piece for itself, so in texts of ASCII and Latin
     letters every distinct piece is given to the library once, as long as the
-    ``limit`` of remembered pieces allows. Other texts, those with strings that
-    begin like special tokens, and all texts of other vocabularies are given whole.
+    ``limit`` of remembered pieces allows, many of them in one text: the last id of
+    each is one that ends a word. Other texts, those with strings that begin like
+    special tokens, and all texts of other vocabularies are given whole.
     """
 
     def __init__(self, spec: str, width: int, limit: int = 300_000):
@@ -189,22 +190,38 @@ class Coder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
-        self.by_piece = _cuts_pieces(json.loads(spec))
+        given = json.loads(spec)
+        self.by_piece = _cuts_pieces(given)
+        self.last = np.zeros(max(given["model"]["vocab"].values()) + 1, bool)
+        self.last[[i for token, i in given["model"]["vocab"].items() if token.endswith("</w>")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, pieces: list[str], together: int = 4096):
+        """The packed ids of pieces, in order."""
+        for at in range(0, len(pieces), together):
+            part = pieces[at : at + together]
+            packed = self.whole([" ".join(part)])[0]
+            ids = np.frombuffer(packed, self.kind)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * ids.itemsize).tolist()
+            if len(ends) == len(part):
+                yield from map(packed.__getitem__, map(slice, [0, *ends], ends))
+            else:
+                yield from self.whole(part)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.by_piece and not BEYOND_LATIN.search(t) for t in texts]
+        plain = [self.by_piece and (t.isascii() and "<|" not in t or not BEYOND_LATIN.search(t)) for t in texts]
         others = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
         found = [LATIN_PIECES.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
-        asked = {x for f in found if f for x in f}
+        asked = set().union(*(f for f in found if f))
         new = asked.difference(self.known)
         if len(self.known) + len(new) > self.limit:
             self.known, new = {}, asked
         ordered = list(new)
-        self.known.update(zip(ordered, self.whole(ordered)))
-        return [next(others) if f is None else b"".join(map(self.known.__getitem__, f)) for f in found]
+        self.known.update(zip(ordered, self.pieces(ordered)))
+        get = self.known.__getitem__
+        return [next(others) if f is None else b"".join(map(get, f)) for f in found]
 
 
 def _cuts_pieces(spec: dict) -> bool:
