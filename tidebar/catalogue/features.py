@@ -344,16 +344,19 @@ def q_walk_forward_metrics(spark, sf):
     )
 
 
-_ED = f"""SELECT b.series, d.day, h.horizon, b.pos AS row, f.close AS actual, l.m + l.k * (b.pos + h.steps) AS predicted
-    FROM (SELECT unnest(range(1, (SELECT max(n) // 96 + 1 FROM b))) AS day) d, {_STEPS} JOIN b ON b.pos >= d.day * 96 AND b.pos < d.day * 96 + h.steps
-    JOIN l ON l.series = b.series AND l.pos = d.day * 96 - 1
-    JOIN b f ON f.series = b.series AND f.pos = b.pos + h.steps
-    WHERE d.day * 96 + h.steps < b.n AND h.steps >= 48"""
+# each row with the days whose window holds it: an equi-join on the day follows
+_ED_DAYS = f"""SELECT b.series, b.pos, b.n, h.horizon, h.steps,
+        unnest(range(greatest(1, (b.pos - h.steps + 96 * 8) // 96 - 7), b.pos // 96 + 1)) AS day
+    FROM b, {_STEPS} WHERE h.steps >= 48"""
+_ED = """SELECT d.series, d.day, d.horizon, d.pos AS row, f.close AS actual, l.m + l.k * (d.pos + d.steps) AS predicted
+    FROM dd d JOIN l ON l.series = d.series AND l.pos = d.day * 96 - 1
+    JOIN b f ON f.series = d.series AND f.pos = d.pos + d.steps
+    WHERE d.day * 96 + d.steps < d.n"""
 
 
 @query(
     "expanding_daily",
-    ctes("bars_15m_all", **_WF, w=_ED)
+    ctes("bars_15m_all", **_WF, dd=_ED_DAYS, w=_ED)
     + """SELECT series, day, horizon, round(avg(abs(actual - predicted)), 6) AS mae,
         round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS rmse, count(*) AS n FROM w GROUP BY 1, 2, 3""",
 )
@@ -365,3 +368,76 @@ def q_expanding(spark, sf):
             e["mae"].alias("mae"), e["rmse"].alias("rmse"), F.count(F.lit(1)).alias("n")
         )
     )
+
+
+# -- validation with features: level, last change, distance from the mean of 20 -
+
+_CHANGES = {
+    "level": lambda w: F.col("close"),
+    "change": lambda w: F.col("close") - F.lag("close").over(w),
+    "distance": lambda w: F.col("close") - ind.full(F.avg, "close", w, 20),
+}
+_FEATURE_CTES = {
+    "b": f"""SELECT series, ts, close, row_number() OVER {over()} - 1 AS pos, count(*) OVER (PARTITION BY series) AS n, close AS x1,
+        close - lag(close) OVER {over()} AS x2, close - ({full('avg', 'close', 20)}) AS x3 FROM bars_15m_all""",
+    # rows without all features train nothing
+    "p": f"""SELECT b.*, h.horizon, h.steps, CASE WHEN g.x3 IS NOT NULL THEN b.close END AS y,
+            CASE WHEN g.x3 IS NOT NULL THEN g.x1 END AS t1, CASE WHEN g.x3 IS NOT NULL THEN g.x2 END AS t2, g.x3 AS t3
+        FROM b CROSS JOIN {_STEPS} LEFT JOIN b g ON g.series = b.series AND g.pos = b.pos - h.steps""",
+}
+_RUN = "(PARTITION BY series, horizon ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_FEATURE_CTES |= {
+    "mo": "SELECT *, count(t1) OVER r AS k, avg(y) OVER r AS my, "
+    + ", ".join(f"avg(t{i}) OVER r AS m{i}, covar_pop(t{i}, y) OVER r AS v{i}" for i in (1, 2, 3))
+    + ", "
+    + ", ".join(f"covar_pop(t{i}, t{j}) OVER r AS c{i}{j}" for i in (1, 2, 3) for j in range(i, 4))
+    + f" FROM p WINDOW r AS {_RUN}",
+    # elimination of the three normal equations
+    "e1": "SELECT *, c22 - c12 * c12 / c11 AS d22, c23 - c12 * c13 / c11 AS d23, c33 - c13 * c13 / c11 AS d33, v2 - c12 * v1 / c11 AS w2, v3 - c13 * v1 / c11 AS w3 FROM mo WHERE k > 3",
+    "e2": "SELECT *, (w3 - d23 * w2 / d22) / (d33 - d23 * d23 / d22) AS b3 FROM e1",
+    "e3": "SELECT *, (w2 - d23 * b3) / d22 AS b2 FROM e2",
+    "fit": "SELECT *, (v1 - c12 * b2 - c13 * b3) / c11 AS b1, my - (v1 - c12 * b2 - c13 * b3) / c11 * m1 - b2 * m2 - b3 * m3 AS b0 FROM e3",
+}
+_FEATURE_ORIGINS = """SELECT o.series, o.ts, o.pos AS origin, o.horizon, f.close AS actual, q.b0 + q.b1 * o.x1 + q.b2 * o.x2 + q.b3 * o.x3 AS predicted
+    FROM p o JOIN b f ON f.series = o.series AND f.pos = o.pos + o.steps
+    LEFT JOIN fit q ON q.series = o.series AND q.horizon = o.horizon AND q.pos = o.pos WHERE o.pos % 15 = 0 AND o.pos >= 47"""
+_FEATURE_DAYS = """SELECT d.series, d.day, d.horizon, d.pos AS row, f.close AS actual, q.b0 + q.b1 * o.x1 + q.b2 * o.x2 + q.b3 * o.x3 AS predicted
+    FROM dd d JOIN b o ON o.series = d.series AND o.pos = d.pos JOIN b f ON f.series = d.series AND f.pos = d.pos + d.steps
+    LEFT JOIN fit q ON q.series = d.series AND q.horizon = d.horizon AND q.pos = d.day * 96 - 1
+    WHERE d.day * 96 + d.steps < d.n AND d.day * 96 <= d.n"""
+_FEATURE_ERRORS = """round(avg(abs(actual - predicted)), 6) AS mae,
+        round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS rmse, count(*) AS n"""
+
+
+@query(
+    "walk_forward_features",
+    ctes("bars_15m_all", **_FEATURE_CTES, w=_FEATURE_ORIGINS) + f"SELECT series, ts, origin, horizon, actual, {rnd('predicted')} FROM w",
+)
+def q_walk_forward_features(spark, sf):
+    return rounded(V.walk_forward_features(I.bars_15m_all(spark, sf), I.Q, _CHANGES, 20))
+
+
+@query(
+    "walk_forward_features_metrics",
+    ctes("bars_15m_all", **_FEATURE_CTES, w=_FEATURE_ORIGINS) + f"SELECT series, horizon, {_FEATURE_ERRORS} FROM w GROUP BY 1, 2",
+)
+def q_walk_forward_features_metrics(spark, sf):
+    rows = V.walk_forward_features(I.bars_15m_all(spark, sf), I.Q, _CHANGES, 20)
+    e = E.error_metrics()
+    return rounded(
+        rows.groupBy("series", "horizon").agg(e["mae"].alias("mae"), e["rmse"].alias("rmse"), F.count(F.lit(1)).alias("n"))
+    )
+
+
+@query(
+    "expanding_daily_features",
+    ctes("bars_15m_all", **_FEATURE_CTES, dd=_ED_DAYS, w=_FEATURE_DAYS) + f"SELECT series, day, horizon, {_FEATURE_ERRORS} FROM w GROUP BY 1, 2, 3",
+)
+def q_expanding_features(spark, sf):
+    rows = V.expanding_daily_features(I.bars_15m_all(spark, sf), I.Q, _CHANGES, 20)
+    e = E.error_metrics()
+    return rounded(
+        rows.groupBy("series", "day", "horizon").agg(
+            e["mae"].alias("mae"), e["rmse"].alias("rmse"), F.count(F.lit(1)).alias("n")
+        )
+    )
