@@ -12,6 +12,7 @@ from tidebar import catalogue
 from tidebar.catalogue.evaluation import MODELS, wide_predictions
 from tidebar.operators import evaluate as E
 from tidebar.operators import models as M
+from tidebar.operators import weights as W
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 catalogue.load_all()
@@ -78,8 +79,8 @@ def test_ridge_equals_the_closed_form(spark):
 
 def test_refined_weights_beat_the_grid_and_every_model(spark):
     rows = wide_predictions(spark, SF, (24,)).cache()
-    coarse = M.optimise_weights(rows, MODELS, "mae").first()
-    fine = M.refine_weights(rows, MODELS, "mae").first()
+    coarse = W.optimise_weights(rows, MODELS, "mae").first()
+    fine = W.optimise_weights(rows, MODELS, "mae", finer=5).first()
     single = [rows.agg(E.error_metrics("actual", m)["mae"].alias("mae")).first()["mae"] for m in MODELS]
     assert abs(sum(fine[f"w_{m}"] for m in MODELS) - 1) < 1e-9
     assert fine["mae"] <= coarse["mae"] + 1e-9 <= min(single) + 2e-9

@@ -9,6 +9,7 @@ from tidebar.catalogue.common import HASH, KEY, ctes, full, over, rnd, rounded
 from tidebar.functions.scalars import key_hash, series_key
 from tidebar.operators import evaluate as E
 from tidebar.operators import models as M
+from tidebar.operators import weights as W
 from tidebar.operators.features import horizon_targets, inline_targets
 from tidebar.operators.indicators import sma
 from tidebar.operators.splits import kfold
@@ -17,11 +18,12 @@ from tidebar.plans import zones
 from tidebar.plans.joins import join_configured
 
 MODELS = ["m1", "m2", "m3", "m4"]
+SIX = [*MODELS, "m5", "m6"]
 HORIZONS = (12, 24, 36, 48, 72, 96)
 
 
-def wide_predictions(spark, sf, horizons=HORIZONS):
-    """Four simple forecasts per bar and horizon: lag 1, two averages, lag 3."""
+def wide_predictions(spark, sf, horizons=HORIZONS, models=MODELS):
+    """Simple forecasts per bar and horizon: lags 1, 3 and 6, averages of 5, 20 and 10."""
     bars = I.bars_h(spark, sf).select("series", "ts", "close")
     z = zones.enter(bars, I.H, before=20, after=max(horizons))
     w = zones.window(I.H)
@@ -31,10 +33,13 @@ def wide_predictions(spark, sf, horizons=HORIZONS):
             "m2": sma("close", w, 5),
             "m3": sma("close", w, 20),
             "m4": F.lag("close", 3).over(w),
+            "m5": F.lag("close", 6).over(w),
+            "m6": sma("close", w, 10),
             "_targets": horizon_targets(w, {str(h): h for h in horizons}, "close", "actual"),
         }
     )
-    return inline_targets(zones.leave(z), "actual").na.drop(subset=MODELS).drop("steps")
+    out = inline_targets(zones.leave(z), "actual").na.drop(subset=models)
+    return out.select("series", "ts", "close", *models, "horizon", "actual")
 
 
 def long_predictions(spark, sf, horizons=HORIZONS):
@@ -44,7 +49,7 @@ def long_predictions(spark, sf, horizons=HORIZONS):
 
 _WIDE = {
     "p0": f"""SELECT series, ts, close, lag(close, 1) OVER {over()} AS m1, {full('avg', 'close', 5)} AS m2,
-        {full('avg', 'close', 20)} AS m3, lag(close, 3) OVER {over()} AS m4,
+        {full('avg', 'close', 20)} AS m3, lag(close, 3) OVER {over()} AS m4, lag(close, 6) OVER {over()} AS m5, {full('avg', 'close', 10)} AS m6,
         {', '.join(f"lead(close, {h}) OVER {over()} AS a{h}" for h in HORIZONS)} FROM bars_h""",
     "wide": " UNION ALL ".join(
         f"SELECT series, ts, close, '{h}' AS horizon, a{h} AS actual, m1, m2, m3, m4 FROM p0 WHERE a{h} IS NOT NULL AND m3 IS NOT NULL"
@@ -201,54 +206,85 @@ def q_weighted_long(spark, sf):
     return rounded(M.combine_long(rows, weights, ("series", "ts")))
 
 
-_GRID = """SELECT a, b, c, 10 - a - b - c AS d FROM range(11) x(a), range(11) y(b), range(11) z(c) WHERE a + b + c <= 10"""
+_WIDE6 = {
+    **_WIDE,
+    "wide6": " UNION ALL ".join(
+        f"SELECT series, ts, close, '{h}' AS horizon, a{h} AS actual, m1, m2, m3, m4, m5, m6 FROM p0 WHERE a{h} IS NOT NULL AND m3 IS NOT NULL"
+        for h in HORIZONS
+    ),
+}
+_PARTS = "abcdef"
 
 
-def _weights_sql(score, keys="", period=""):
-    group = f"{keys}, " if keys else ""
-    part = f"PARTITION BY {keys}" if keys else ""
+def _grid(models, parts=10):
+    """All weightings in lexicographic order, the last weight being the rest."""
+    free = _PARTS[: len(models) - 1]
+    rest = " - ".join([str(parts), *free])
+    return f"SELECT {', '.join(free)}, {rest} AS {_PARTS[len(models) - 1]} FROM {', '.join(f'range({parts + 1}) t{x}({x})' for x in free)} WHERE {rest} >= 0"
+
+
+def _weights_sql(score, keys="horizon", period="", models=SIX, source="wide6"):
+    """Every weighting of the grid on every row; a weighting's error is that of the models' errors."""
+    part, used = f"PARTITION BY {keys}", _PARTS[: len(models)]
+    error = " + ".join(f"{x} / 10 * (actual - {m})" for x, m in zip(used, models))
     return ctes(
         "bars_h",
-        **_WIDE,
-        g=_GRID,
-        pw=f"SELECT *{period} FROM wide WHERE horizon = '24'",
-        e=f"""SELECT {group}a, b, c, d, avg(abs(actual - p)) AS mae, sqrt(avg((actual - p) * (actual - p))) AS rmse FROM
-            (SELECT *, a / 10 * m1 + b / 10 * m2 + c / 10 * m3 + d / 10 * m4 AS p FROM pw, g) GROUP BY {group}a, b, c, d""",
-        r=f"SELECT *, row_number() OVER ({part} ORDER BY round({score}, 9), a, b, c, d) AS k FROM e",
-    ) + f"""SELECT {group}a / 10 AS w_m1, b / 10 AS w_m2, c / 10 AS w_m3, d / 10 AS w_m4, {rnd('mae', 'rmse', f'{score} AS score')}
+        **_WIDE6,
+        g=_grid(models),
+        pw=f"SELECT *{period} FROM {source}",
+        e=f"""SELECT {keys}, {', '.join(used)}, avg(abs(err)) AS mae, sqrt(avg(err * err)) AS rmse FROM
+            (SELECT {keys}, {', '.join(used)}, {error} AS err FROM pw, g) GROUP BY {keys}, {', '.join(used)}""",
+        r=f"SELECT *, row_number() OVER ({part} ORDER BY round({score}, 9), {', '.join(used)}) AS k FROM e",
+    ) + f"""SELECT {keys}, {', '.join(f'{x} / 10 AS w_{m}' for x, m in zip(used, models))}, {rnd('mae', 'rmse', f'{score} AS score')}
         FROM r WHERE k = 1"""
 
 
-def _optimised(spark, sf, metric, keys=()):
-    rows = wide_predictions(spark, sf, (24,))
-    if keys:
-        rows = rows.withColumn("period", F.trunc(F.col("ts").cast("date"), "week").cast("timestamp_ntz"))
-    return rounded(M.optimise_weights(rows, MODELS, metric, keys=keys))
-
-
 @query("optimise_weights", _weights_sql("mae"))
 def q_weights_mae(spark, sf):
-    return _optimised(spark, sf, "mae")
+    return rounded(W.optimise_weights(wide_predictions(spark, sf, models=SIX), SIX, "mae", keys=("horizon",)))
 
 
 @query("optimise_weights_rmse", _weights_sql("rmse"))
 def q_weights_rmse(spark, sf):
-    return _optimised(spark, sf, "rmse")
+    return rounded(W.optimise_weights(wide_predictions(spark, sf, models=SIX), SIX, "rmse", keys=("horizon",)))
 
 
 @query("optimise_weights_hybrid", _weights_sql("(0.5 * mae + 0.5 * rmse)"))
 def q_weights_hybrid(spark, sf):
-    return _optimised(spark, sf, "hybrid")
+    return rounded(W.optimise_weights(wide_predictions(spark, sf, models=SIX), SIX, "hybrid", keys=("horizon",)))
+
+
+_FINE = """SELECT f.horizon, f.a, f.b, f.c, 50 - f.a - f.b - f.c AS d FROM
+    (SELECT horizon, unnest(range(greatest(0, 5 * a - 5)::BIGINT, least(50, 5 * a + 5)::BIGINT + 1)) AS a, b, c FROM
+        (SELECT horizon, a, unnest(range(greatest(0, 5 * b - 5)::BIGINT, least(50, 5 * b + 5)::BIGINT + 1)) AS b, c FROM
+            (SELECT horizon, a, b, unnest(range(greatest(0, 5 * c - 5)::BIGINT, least(50, 5 * c + 5)::BIGINT + 1)) AS c FROM r WHERE k = 1))) f
+    WHERE f.a + f.b + f.c <= 50"""
+
 
+def _refined_sql():
+    coarse = _weights_sql("mae", models=MODELS, source="wide").rpartition("SELECT horizon, a / 10")[0]
+    error = " + ".join(f"{x} / 50 * (actual - {m})" for x, m in zip("abcd", MODELS))
+    return coarse.rstrip() + f""", fg AS ({_FINE}),
+        fe AS (SELECT horizon, a, b, c, d, avg(abs(x)) AS mae, sqrt(avg(x * x)) AS rmse
+            FROM (SELECT horizon, a, b, c, d, {error} AS x FROM wide JOIN fg USING (horizon)) GROUP BY ALL),
+        fr AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY round(mae, 9), a, b, c, d) AS k FROM fe)
+        SELECT horizon, {', '.join(f'{x} / 50 AS w_{m}' for x, m in zip('abcd', MODELS))}, {rnd('mae', 'rmse', 'mae AS score')} FROM fr WHERE k = 1"""
 
-@query("optimise_weights_refined")
+
+@query("optimise_weights_refined", _refined_sql())
 def q_weights_refined(spark, sf):
-    return rounded(M.refine_weights(wide_predictions(spark, sf, (24,)), MODELS, "mae"))
+    return rounded(W.optimise_weights(wide_predictions(spark, sf), MODELS, "mae", keys=("horizon",), finer=5))
+
+
+@query("optimise_weights_exact")
+def q_weights_exact(spark, sf):
+    return rounded(W.exact_weights(wide_predictions(spark, sf, models=SIX), SIX, keys=("horizon",)))
 
 
-@query("adaptive_weights", _weights_sql("mae", "period", ", date_trunc('week', ts)::TIMESTAMP AS period"))
+@query("adaptive_weights", _weights_sql("mae", "horizon, period", ", date_trunc('week', ts)::TIMESTAMP AS period"))
 def q_adaptive(spark, sf):
-    return _optimised(spark, sf, "mae", ("period",))
+    rows = wide_predictions(spark, sf, models=SIX).withColumn("period", F.trunc(F.col("ts").cast("date"), "week").cast("timestamp_ntz"))
+    return rounded(W.optimise_weights(rows, SIX, "mae", keys=("horizon", "period")))
 
 
 @query(

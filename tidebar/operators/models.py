@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -204,72 +203,6 @@ def combine_long(predictions: DataFrame, weights: DataFrame, keys: tuple[str, ..
     return joined.groupBy(*keys, "horizon").agg(F.sum(w * F.col("predicted")).alias("predicted"))
 
 
-def simplex(models: int, parts: int) -> list[tuple[int, ...]]:
-    """All ways to split ``parts`` over ``models``; divided by ``parts`` they are weights."""
-    return [c for c in product(range(parts + 1), repeat=models) if sum(c) == parts]
-
-
-def weight_errors(
-    df: DataFrame, models: list[str], candidates: list[tuple[float, ...]], actual: str = "actual",
-    keys: tuple[str, ...] = (),
-) -> DataFrame:
-    """MAE and RMSE of every candidate weighting, per keys.
-
-    The candidates are a fixed list in the plan, not a table. Every row is
-    expanded to the candidates and folded at once by the partial aggregate, so
-    a task sends one row per key and candidate, however many rows it read.
-    """
-    listed = F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in candidates])
-    rows = df.select(*keys, actual, *models, F.posexplode(listed).alias("weight_id", "w"))
-    combined = sum([F.col("w")[i] * F.col(m) for i, m in enumerate(models)], F.lit(0.0))
-    d = F.col(actual) - F.coalesce(F.nanvl(combined, F.lit(0.0)), F.lit(0.0))
-    errors = rows.groupBy(*keys, "weight_id").agg(F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"))
-    weights = F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in candidates])
-    return errors.withColumn("weights", F.element_at(weights, F.col("weight_id") + 1))
-
-
-def optimise_weights(
-    df: DataFrame, models: list[str], metric: str = "mae", parts: int = 10, actual: str = "actual",
-    keys: tuple[str, ...] = (), places: int = 9,
-) -> DataFrame:
-    """Best weights in [0, 1] that sum to 1, on a grid of ``1/parts``; ``metric`` mae, rmse or hybrid."""
-    scores = {
-        "mae": F.col("mae"),
-        "rmse": F.col("rmse"),
-        "hybrid": 0.5 * F.col("mae") + 0.5 * F.col("rmse"),
-    }
-    if metric not in scores:
-        raise ValueError("metric is 'mae', 'rmse' or 'hybrid'")
-    candidates = [tuple(k / parts for k in c) for c in simplex(len(models), parts)]
-    errors = weight_errors(df, models, candidates, actual, keys).withColumn("score", F.round(scores[metric], places))
-    # the candidate table is small; ties go to the first candidate
-    best = F.min_by(F.struct("weights", "mae", "rmse", "score"), F.struct("score", "weight_id"))
-    out = errors.groupBy(*keys).agg(best.alias("_b"))
-    cols = [F.col("_b.weights")[i].alias(f"w_{m}") for i, m in enumerate(models)]
-    return out.select(*keys, *cols, F.col("_b.mae").alias("mae"), F.col("_b.rmse").alias("rmse"), F.col("_b.score").alias("score"))
-
-
-def refine_weights(
-    df: DataFrame, models: list[str], metric: str = "mae", parts: int = 10, finer: int = 5, actual: str = "actual"
-) -> DataFrame:
-    """M12 in two rounds: the coarse grid, then a grid ``finer`` times as dense around its winner."""
-    first = optimise_weights(df, models, metric, parts, actual).first()
-    centre = [round(first[f"w_{m}"] * parts * finer) for m in models]
-    total = parts * finer
-    around = [
-        c
-        for c in product(*[range(max(0, k - finer), min(total, k + finer) + 1) for k in centre[:-1]])
-        if 0 <= total - sum(c) <= total
-    ]
-    candidates = [tuple(k / total for k in (*c, total - sum(c))) for c in around]
-    errors = weight_errors(df, models, candidates, actual)
-    score = {"mae": F.col("mae"), "rmse": F.col("rmse"), "hybrid": 0.5 * F.col("mae") + 0.5 * F.col("rmse")}[metric]
-    best = F.min_by(F.struct("weights", "mae", "rmse"), F.struct(F.round(score, 9), "weight_id"))
-    out = errors.agg(best.alias("_b"))
-    cols = [F.col("_b.weights")[i].alias(f"w_{m}") for i, m in enumerate(models)]
-    return out.select(*cols, F.col("_b.mae").alias("mae"), F.col("_b.rmse").alias("rmse"))
-
-
 def regression_line(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = ("series",)) -> DataFrame:
     """Least-squares line per keys as one aggregate."""
     return df.groupBy(*keys).agg(
