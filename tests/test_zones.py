@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidebar.operators import clean as C
 from tidebar.operators import enrich, indicators, signals
 from tidebar.operators import features as X
+from tidebar.operators import splits as V
 from tidebar.operators.ewm import ewm
 from tidebar.plans import zones
 
@@ -177,3 +178,74 @@ def test_rolling_by_series_window_is_the_same(uneven):
     zoned = frame(zones.over(uneven, order, before=4, m=lambda w: F.avg("close").over(w.rowsBetween(-4, 0))))
     plain = frame(uneven.withColumn("m", F.avg("close").over(Window.partitionBy("series").orderBy("ts").rowsBetween(-4, 0))))
     pd.testing.assert_frame_equal(zoned, plain)
+
+
+@pytest.fixture(scope="module")
+def bursts(spark):
+    """A third of the rows in one second, hundreds at one instant told apart by an id, and rows without a time or a key."""
+    rng = random.Random(9)
+    rows = [("a", START + dt.timedelta(hours=i), i, rng.uniform(1, 9)) for i in range(600)]
+    rows += [("a", START + dt.timedelta(hours=300, microseconds=rng.randrange(10**6)), 1000 + i, rng.uniform(1, 9)) for i in range(700)]
+    rows += [("a", START + dt.timedelta(hours=301, seconds=1), 10**12 + rng.randrange(10**9), rng.uniform(1, 9)) for i in range(500)]
+    rows += [("b", START, None if i == 3 else i * i * i, rng.uniform(1, 9)) for i in range(400)]
+    lost = [("a", None, i, 1.0) for i in range(300)] + [(None, START, 1, 2.0)] * 200 + [(None, None, None, None)] * 100
+    rows, lost = list(dict.fromkeys(rows)), lost
+    every = rows + lost
+    rng.shuffle(every)
+    schema = "series string, ts timestamp_ntz, id long, close double"
+    return spark.createDataFrame(every, schema).repartition(5).cache(), len(lost)
+
+
+def in_order(df):
+    return df.sort_values(["series", "ts", "id"], na_position="first").reset_index(drop=True)
+
+
+@pytest.mark.parametrize("small, long_map", [(True, None), (False, None), (False, "20")])
+def test_bursts_are_split_and_rows_without_a_place_kept(spark, monkeypatch, bursts, small, long_map):
+    given, n_lost = bursts
+    monkeypatch.setattr(zones, "SMALL_INPUT", 1 << 40 if small else 0)
+    if long_map:
+        spark.conf.set(zones.LONG_MAP_CONF, long_map)
+    try:
+        order = zones.Order(3600, ties=("id",), rows=64)
+        z = zones.enter(given, order, before=3, after=2)
+        sizes = z.where("_core AND _pos IS NOT NULL").groupBy("series", "_zone").count().toPandas()["count"]
+        assert sizes.max() <= 2 * 64
+        alone = z.where("_pos IS NULL").groupBy("_zone").count().toPandas()["count"]
+        assert len(alone) == n_lost and alone.max() == 1
+        w = zones.window(order)
+        z = z.withColumns({"before": F.lag("close", 3).over(w), "after": F.lead("close", 2).over(w), "row": F.col("_pos"), "whole": F.lit(1)})
+        out = zones.leave(z).toPandas()
+        total = zones.leave(zones.running_sum(zones.enter(given, order), order, {"total": F.col("close")})).toPandas()
+        means = ewm(given, order, {"m": ("close", 9)}).toPandas()
+    finally:
+        spark.conf.unset(zones.LONG_MAP_CONF)
+    have = given.toPandas()
+    placed = have["ts"].notna() & have["series"].notna()
+    want = in_order(have[placed])
+    g = want.groupby("series")["close"]
+    for got in (out, total, means):
+        assert len(got) == len(have)
+        left = got[got["ts"].isna() | got["series"].isna()]
+        added = [c for c in got.columns if c not in have.columns]
+        assert len(left) == n_lost and left[added].isna().all().all()
+        pd.testing.assert_frame_equal(
+            in_order(left[list(have.columns)]).fillna(-1).sort_values(["id", "close"]).reset_index(drop=True),
+            in_order(have[~placed]).fillna(-1).sort_values(["id", "close"]).reset_index(drop=True), check_dtype=False,
+        )
+    out, total, means = (in_order(x[x["ts"].notna() & x["series"].notna()]) for x in (out, total, means))
+    assert (out["row"] == want.groupby("series").cumcount()).all()
+    np.testing.assert_allclose(out["before"], g.shift(3))
+    np.testing.assert_allclose(out["after"], g.shift(-2))
+    np.testing.assert_allclose(total["total"], g.cumsum())
+    np.testing.assert_allclose(means["m"], g.transform(lambda x: x.ewm(span=9, adjust=False).mean()), rtol=1e-12)
+
+
+def test_fills_keep_rows_without_a_place(spark):
+    rows = [("a", START, 1.0), ("a", START + dt.timedelta(hours=1), None), ("a", None, None), (None, START, None), (None, None, 7.0)]
+    df = spark.createDataFrame(rows, "series string, ts timestamp_ntz, close double")
+    got = sorted(C.ffill(df, zones.HOURLY, ["close"]).collect(), key=str)
+    want = sorted([("a", START, 1.0), ("a", START + dt.timedelta(hours=1), 1.0), ("a", None, None), (None, START, None), (None, None, 7.0)], key=str)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    split = V.chronological_split(df, zones.HOURLY).collect()
+    assert len(split) == 5 and sum(r["split"] is None for r in split) == 3

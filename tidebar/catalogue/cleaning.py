@@ -8,6 +8,7 @@ from tidebar.catalogue import query
 from tidebar.catalogue.common import HASH, KEY, ctes, frame_ctes, over, rnd, rounded
 from tidebar.functions.scalars import key_hash, series_key
 from tidebar.operators import clean as C
+from tidebar.operators import splits as V
 from tidebar.operators.indicators import indicator_frame
 from tidebar.plans import inputs as I
 from tidebar.session import stage_once
@@ -175,3 +176,30 @@ def q_nan_to_zero(spark, sf):
 )
 def q_head_tail(spark, sf):
     return C.head_tail(I.bars_h(spark, sf).select("series", "ts", "close"), 5)
+
+
+# -- rows without a place in the order -------------------------------------------
+
+_LOST = {
+    "u": """SELECT CASE WHEN day(ts) % 11 = 5 THEN NULL ELSE series END AS series, CASE WHEN hour(ts) % 7 = 3 THEN NULL ELSE ts END AS ts,
+        close, volume, high FROM bars_h""",
+    "p": "SELECT *, CASE WHEN volume % 3 > 0 THEN close END AS c FROM u WHERE series IS NOT NULL AND ts IS NOT NULL",
+    "q": f"SELECT series, ts, {_FWD} AS filled, row_number() OVER {over()} AS rn, count(*) OVER (PARTITION BY series) AS n, high FROM p",
+}
+
+
+@query(
+    "rows_without_place",
+    ctes("bars_h", **_LOST)
+    + """SELECT series, ts, filled, high, CASE WHEN rn <= floor(0.75 * n) THEN 'train' ELSE 'test' END AS split FROM q
+       UNION ALL SELECT series, ts, CASE WHEN volume % 3 > 0 THEN close END, high, NULL FROM u WHERE series IS NULL OR ts IS NULL""",
+)
+def q_rows_without_place(spark, sf):
+    """Rows whose time or key is missing come through fills and splits: as many rows out as in."""
+    rows = I.bars_h(spark, sf).select(
+        F.when(F.dayofmonth("ts") % 11 != 5, F.col("series")).alias("series"),
+        F.when(F.hour("ts") % 7 != 3, F.col("ts")).alias("ts"),
+        F.when(F.col("volume") % 3 > 0, F.col("close")).alias("filled"),
+        "high",
+    )
+    return V.chronological_split(C.ffill(rows, I.H, ["filled"]), I.H)

@@ -68,7 +68,7 @@ def running_moments(z: DataFrame, order: Order, values: list[str], segment: Colu
     reaches over the border of a zone has a row in either.
     """
     group = [*order.keys, *by, "_zone"]
-    parts = z.where("_core").groupBy(*group, segment.alias("_segment")).agg(
+    parts = z.where("_core AND _pos IS NOT NULL").groupBy(*group, segment.alias("_segment")).agg(
         *segment_moments(values), *(c.alias(n) for n, c in at_end.items())
     )
     inside = Window.partitionBy(*group)

@@ -50,7 +50,7 @@ def _with_features(z: DataFrame, order: Order, features: Features, horizons: dic
     w = zones.window(order)
     z = z.withColumns({f: make(w) for f, make in features.items()})
     z = z.withColumn("_asked", _past_pairs(w, features, horizons, c))
-    return z.where("_core").select(*order.keys, order.ts, "_zone", "_core", "_pos", "_n", F.inline("_asked"))
+    return z.where("_core AND _pos IS NOT NULL").select(*order.keys, order.ts, "_zone", "_core", "_pos", "_n", F.inline("_asked"))
 
 
 def walk_forward(
@@ -132,7 +132,7 @@ def expanding_daily(
     lines = lines.select("series", ((F.col("_end") + 1) / day_rows).cast("long").alias("day"), "_b", "_b__x")
     if days is not None:
         lines = lines.where(F.col("day") < days)
-    z = z.withColumn("_targets", horizon_targets(w, horizons, c, "actual")).where("_core")
+    z = z.withColumn("_targets", horizon_targets(w, horizons, c, "actual")).where("_core AND _pos IS NOT NULL")
     rows = _validated(z.select("series", "_pos", "_n", F.inline("_targets")), days, horizons, day_rows, least)
     predicted = moments.predicted({"_x": F.col("_pos") + F.col("steps")})
     return rows.join(lines, ["series", "day"]).select("series", "day", "horizon", F.col("_pos").alias("row"), "actual", predicted.alias("predicted"))
