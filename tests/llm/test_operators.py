@@ -156,6 +156,54 @@ def test_words_outside_the_lexicon_have_emissions(spark):
     assert min(gain[1000], gain[1001]) > gain[1002] + 1
 
 
+def test_score_equals_a_plain_forward_pass(spark):
+    """Lexicon words, others, words that occur once and unseen ones; small blocks; each state's emissions sum to 1."""
+    importable(spark)
+    r = random.Random(8)
+    zipf = [f"w{k}" for k in range(300)]
+    text = lambda i: " ".join(f"{'ab'[i % 2]}{r.choice(zipf[: r.choice([3, 30, 300])])}" if r.random() > 0.1 else f"new{r.randrange(10**9)}" for _ in range(r.choice([0, 1, 60])))
+    data = [(i, text(i), i % 10 == 0) for i in range(400)] + [(None, None, False), (7, "aw1", None)]
+    df = spark.createDataFrame(data, "id long, t string, held boolean").repartition(3)
+    args = dict(states=3, lexicon=40, rounds=2, sample_tokens=2000, block_tokens=500)
+    known = hmm.learn(df, "id", "t", F.col("held"), **args)
+    assert known.coded.select("block").distinct().count() > 8
+    common, rest = known.model.emit, {bytes(x["word"]): x for x in known.words.join(known.emissions, "i").collect()}
+    count = collections.Counter(w for _, t, h in data if h is False for w in (t or "").split())
+    once = sum(n == 1 and w.encode() not in known.names for w, n in count.items())
+    assert len(known.names) > 20 and len(rest) > 100 and once > 100
+    total = common[: len(known.names) + 1].sum(0) + [sum(x[f"s{k}"] for x in rest.values()) for k in range(3)] + once * common[-2] + common[-1]
+    np.testing.assert_allclose(total, 1, rtol=1e-5)
+    n = sum(count.values()) + sum(h is False for *_, h in data)
+    np.testing.assert_allclose(common[-1], 0.1 / (n + 0.1 * (len(count) + 2)))
+
+    def emission(w):
+        if w in known.names:
+            return common[known.names.index(w) + 1]
+        if w in rest:
+            return np.array([rest[w][f"s{k}"] for k in range(3)])
+        return common[-2 if count[w.decode()] else -1]
+
+    def logp(t):
+        alpha, out = None, 0.0
+        for e in [*(emission(w.encode()) for w in (t or "").split()), common[0]]:
+            alpha = (known.model.start if alpha is None else alpha @ known.model.move) * e
+            out += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        return out
+
+    got = collections.Counter((x["key"], x["held_out"], round(x["score"], 3)) for x in hmm.score(df, "id", "t", F.col("held"), **args).collect())
+    assert got == collections.Counter((i, h is not False, round(logp(t), 3)) for i, t, h in data)
+
+
+def test_scores_of_held_out_texts_beat_the_base(spark):
+    """On the given texts, of whose held-out words more than a tenth are unseen, by a fifth of a digit a token at least."""
+    rows = [r for r in QUERIES["op3_lm_scoring"](spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    n = sum(r["n_tokens"] for r in rows)
+    assert sum(r["n_known"] for r in rows) < 0.9 * n
+    assert (sum(r["score"] for r in rows) - sum(r["base_score"] for r in rows)) / n > 0.2
+    assert sum(r["score"] > r["base_score"] for r in rows) > 0.95 * len(rows)
+
+
 def test_secrets(spark, docs, rows):
     kinds = [
         ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),

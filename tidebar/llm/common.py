@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebar.session import stage
+from tidebar.session import discard, stage
 
 #: Separators between words, and a word, in Java's and Python's regular expressions.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -47,6 +48,13 @@ def small(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+def settle(spark, paths: list[str]) -> None:
+    """Deletes stored tables that are done with, and lets Spark remove the shuffle files of plans nobody holds any more."""
+    discard(spark, paths)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
