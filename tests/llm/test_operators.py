@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -360,6 +361,72 @@ def test_wrappers_and_unclosed_elements_keep_the_article(page):
     assert extraction.main_text("<body>" + page.format(WORDS), extraction.Weights({}, {})) == BODY
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<article><div class="entry-header"><h1>Title</h1></div>{}</article>', "Title\n{}"),
+    ('<article><div class="post-header"><h1>Title</h1></div>{}</article>', "Title\n{}"),
+    ('<article><div class="banner"><h1>Title</h1></div>{}</article>', "Title\n{}"),
+    ('<article>{}<section id="related-work"><h2>Related work</h2><p>Others did so as well before.</p></section></article>', "{}\nRelated work\nOthers did so as well before."),
+    ('<article>{}<section id="search"><h2>Search</h2><p>How one looks for it.</p></section></article>', "{}\nSearch\nHow one looks for it."),
+    ('<article>{}<div class="related"><h3>More</h3><ul><li><a href="x">one other page here</a></li></ul></div></article>', "{}"),
+    ('<article>{}<div class="comments"><p>a reader writes a lot here</p></div></article>', "{}"),
+    ('<form id="aspnetForm"><nav>a b</nav><article>{}</article></form>', "{}"),
+    ('<form id="aspnetForm"><div class="x">{}</div></form>', "{}"),
+    ('<article>{}<form><label>Your name please</label><input></form></article>', "{}"),
+    ('<article>{}<p>click <button>x</button> and text</p></article>', "{}\nclick and text"),
+    ('<div class="post"><div class="post-header"><h1>Title</h1></div>{}</div>', "Title\n{}"),
+])
+def test_parts_of_the_article_stay(page, want):
+    assert extraction.main_text(f"<html><body>{page.format(WORDS)}</body></html>", extraction.Weights({}, {})) == want.format(BODY)
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "words of it", "<div>" * 50_000 + "</b>" * 50_000, "<p>a <b>" * 50_000, "<div class='related'>x" * 50_000, "<article>" * 50_000 + "</article>" * 50_000,
+    "<a href='x'>" * 50_000 + "t" * 100, "<svg>" * 100_000, "<" * 100_000, "<p" * 100_000, "<!--" * 50_000, "</p>" * 100_000, "&amp" * 100_000, "<form>y" * 50_000, "<a b='" * 20_000,
+])
+def test_reading_is_linear(page):
+    start = time.process_time()
+    extraction.main_text(page, extraction.Weights({}, {}))
+    assert time.process_time() - start < 3  # below 1 s on an idle machine
+
+
+def test_reader_equals_a_plain_one():
+    """Random markup against a reader that looks through all open elements at every step."""
+    r = random.Random(12)
+    names = ["div", "p", "b", "a", "ul", "li", "article", "span", "h2", "section"]
+    for _ in range(300):
+        tokens = []
+        for _ in range(r.randrange(40)):
+            n = r.choice(names)
+            tokens.append(r.choice([f"<{n}>", f"<{n} class='c{r.randrange(3)} x'>", f"</{n}>", " word two", "t"]))
+        stack, want = [], []
+        for t in tokens:
+            if t[0] != "<":
+                block = next((f for n, f in reversed(stack) if n not in extraction.INLINE), "")
+                want.append((block + " a" * any(n == "a" for n, _ in stack), len(t.split()), t, any(n == "article" for n, _ in stack)))
+                continue
+            name = re.match("</?([a-z0-9]+)", t)[1]
+            if t[1] == "/":
+                depth = max((i for i, (n, _) in enumerate(stack) if n == name), default=None)
+                if depth is not None:
+                    del stack[depth:]
+                want.append((f"</{name}", 0, f"/{name}", any(n == "article" for n, _ in stack)))
+                continue
+            if name in extraction.CLOSES_P:
+                depth = max((i for i, (n, _) in enumerate(stack) if n == "p"), default=None)
+                if depth is not None and all(n in extraction.INLINE for n, _ in stack[depth + 1 :]):
+                    del stack[depth:]
+            want.append((f"<{name}", 0, name, any(n == "article" for n, _ in stack)))
+            stack.append((name, f"{name}.{(re.search('c[0-9]', t) or [''])[0]}"))
+        merged = [list(x) for x in extraction.Reader("".join(tokens)).parts]
+        joined = []
+        for x in want:  # neighbouring texts are one token
+            if joined and x[0][:1] != "<" and joined[-1][0][:1] != "<":
+                joined[-1] = [x[0], len((joined[-1][2] + x[2]).split()), joined[-1][2] + x[2], x[3]]
+            else:
+                joined.append(list(x))
+        assert merged == joined
+
+
 def test_asides_stay_out():
     weights = extraction.Weights({}, {})
     for aside in ('<div class="comments"><p>{}</p></div>', '<div class="related"><article><p>{}</p></article></div>'):

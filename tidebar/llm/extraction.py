@@ -16,7 +16,8 @@ from tidebar.llm.common import col, whole
 
 # Element names of HTML by what they are for
 RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "title", "select", "button", "canvas", "audio", "video")
-ASIDE = frozenset((*RAW, "head", "nav", "footer", "aside", "form", "header", "menu", "dialog", "fieldset"))
+ASIDE = frozenset((*RAW, "head", "nav", "footer", "aside", "header", "menu", "dialog"))
+FORMS = frozenset(("form", "fieldset"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong "
@@ -28,12 +29,15 @@ CLOSES_P = frozenset(
 )
 #: Words in a class, id or role that name what is not the article.
 CUES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|topbar|masthead|header|footer|sidebar\w*|"
+    r"(?:^|[\s_-])(ads?|adverts?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|topbar|masthead|header|footer|sidebar\w*|"
     r"side|aside|comments?|commentlist|respond|replies|disqus|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|login|"
     r"search|share|sharing|social|related|recommend\w*|widget\w*|copyright|skip|toolbar|pagination|pager|dialog|complementary|contentinfo|"
     r"navigation)(?=$|[\s_-])",
     re.I,
 )
+#: Those of them that inside an article may name a part of it, and compounds that always do.
+DOUBTFUL = re.compile(r"header|banner|masthead|search|related|recommend\w*|side|skip", re.I)
+OWN = re.compile(r"(?:^|\s)(?:entry|post|article|story|content)[_-]?(?:header|banner)(?=$|\s)", re.I)
 MAIN = re.compile(r"(?:^|\s)(?:articleBody|article|main)(?:$|\s)")
 TOKENS = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
@@ -51,8 +55,11 @@ class Reader:
     """Parts of a page in order: tags, and pieces of text with what they stand in.
 
     Elements that hold no article by their name or by a cue in class, id or role
-    become one tag, their words are no candidates. ``in_main`` tells whether a
-    piece stands in an article or main element, which labels the page.
+    become one tag, their words are no candidates; forms count as elements with a
+    cue. ``in_main`` tells whether a piece stands in an article or main element,
+    which labels the page. In there a doubtful cue ("related-work", "header") takes
+    an element out only if it has no paragraph or heading, or a third of its words
+    are links.
 
     On a page without a readable such element, what a cue leaves out may be the
     page's wrapper ("has-sidebar"). Elements with a cue around the first article or
@@ -84,7 +91,26 @@ class Reader:
             while opened and opened[-1][0] >= depth:
                 opened.pop()[1][2::2] = total, mains
 
-        stack: list[tuple[str, str, bool]] = []  # name, feature, main
+        # open elements: name, whether in a main element, whether in a link, innermost block, whether that is a paragraph
+        stack: list[tuple[str, bool, bool, str, bool]] = []
+        places: dict[str, list[int]] = {}  # depths of the open elements of a name
+        top = ("", False, False, "", False)
+        doubtful: list[tuple[int, int, int, int, int]] = []  # depth; parts, words, words in links, paragraphs and headings before
+        shown = linked = flow = 0
+
+        def cut(depth: int) -> None:
+            nonlocal skip, hard, top, shown, linked, flow
+            skip, hard = (None if d is not None and depth <= d else d for d in (skip, hard))
+            close(depth)
+            for name, *_ in reversed(stack[depth:]):
+                places[name].pop()
+            del stack[depth:]
+            top = stack[-1] if stack else ("", False, False, "", False)
+            while doubtful and doubtful[-1][0] >= depth:
+                _, parts, words, links, blocks = doubtful.pop()
+                if flow == blocks or 3 * (linked - links) > shown - words:
+                    del self.parts[parts:]
+
         skip = None  # depth at which a left-out element began
         at = 0
         while m := TOKENS.match(page, at):
@@ -93,34 +119,29 @@ class Reader:
                 words = len(text.split()) if hard is None else 0
                 total += words
                 if skip is None:
-                    self.parts.append((self._where(stack), words, text, any(x[2] for x in stack)))
+                    shown += words
+                    linked += words if top[2] else 0
+                    self.parts.append((f"{top[3]} a" if top[2] else top[3], words, text, top[1]))
                 continue
             name = (m["name"] or m["name2"] or "").lower()
             if not name:
                 continue
             if m["end"] or m["end2"]:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if depth is not None:
-                    skip, hard = (None if d is not None and depth <= d else d for d in (skip, hard))
-                    close(depth)
-                    del stack[depth:]
+                if places.get(name):
+                    cut(places[name][-1])
                 if skip is None:
-                    self._tag(name, "/", stack)
+                    self.parts.append((f"</{name}", 0, f"/{name}", top[1]))
                 continue
-            if name in CLOSES_P:
-                # an open paragraph ends here
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if depth is not None and all(x[0] in INLINE for x in stack[depth + 1 :]):
-                    skip, hard = (None if d is not None and depth <= d else d for d in (skip, hard))
-                    close(depth)
-                    del stack[depth:]
+            if name in CLOSES_P and top[4]:
+                cut(places["p"][-1])  # an open paragraph ends here
             rest = m["rest"] if m["rest"] is not None else m["rest2"] or ""
             attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {}
             named = " ".join(attributes.get(k, "") for k in ("class", "id", "role", "itemprop"))
             main = name in ("article", "main") or bool(MAIN.search(named))
-            inside = any(x[2] for x in stack)
+            inside = top[1]
             if skip is None:
-                self._tag(name, "", stack)
+                self.parts.append((f"<{name}", 0, name, inside))
+                flow += name == "p" or name[:1] == "h" and name[1:].isdigit()
             if name in RAW:
                 # its content is no markup: up to its end tag; without one it is empty, but for code, which goes to the end
                 if name in endless or name in ("svg", "math") and rest.endswith("/"):
@@ -137,7 +158,9 @@ class Reader:
                 continue
             hidden = "hidden" in rest.split() or re.search(r"display\s*:\s*none", attributes.get("style", ""))
             never = name in ASIDE and not (name == "header" and inside) or hidden
-            cue = bool(CUES.search(named))
+            cues = [] if OWN.search(named) else CUES.findall(named)
+            doubt = inside and skip is None and bool(cues) and name not in FORMS and all(DOUBTFUL.fullmatch(c) for c in cues)
+            cue = name in FORMS or bool(cues) and not doubt
             if never and hard is None:
                 hard = len(stack)
             if hard is None and cue and not main and name != "body":
@@ -149,19 +172,16 @@ class Reader:
                 skip = len(stack)
             if main and skip is None:
                 self.labelled = True
-            stack.append((name, f"{name}.{SPACES.split(attributes.get('class', '').strip())[0].lower()}", main and skip is None))
+            if doubt and not out:
+                doubtful.append((len(stack), len(self.parts), shown, linked, flow))
+            places.setdefault(name, []).append(len(stack))
+            block = (top[3], top[4]) if name in INLINE else (f"{name}.{SPACES.split(attributes.get('class', '').strip())[0].lower()}", name == "p")
+            top = (name, inside or main and skip is None, top[2] or name == "a", *block)
+            stack.append(top)
+        cut(0)
         close(0)
         return cued, total
 
-    def _tag(self, name: str, end: str, stack) -> None:
-        self.parts.append((f"<{end}{name}", 0, f"{end}{name}", any(x[2] for x in stack)))
-
-    @staticmethod
-    def _where(stack) -> str:
-        """What a piece of text stands in: its block, and whether it is a link."""
-        block = next((x[1] for x in reversed(stack) if x[0] not in INLINE), "")
-        return f"{block} a" if any(x[0] == "a" for x in stack) else block
-
 
 def tallies(pages: list[str]) -> tuple[Counter, Counter]:
     """Words (and tags) by feature, inside and outside the main elements of the pages that have one."""
@@ -216,8 +236,8 @@ def main_text(page: str, weights: Weights) -> str:
         if feature[:1] != "<":
             if weights.of(feature) > -2.5:
                 now.append(text)
-        elif text.lstrip("/") in INLINE:
-            now.append(" " if text == "br" else "")
+        elif (name := text.lstrip("/")) in INLINE or name in RAW:
+            now.append(" " if name == "br" else "")
         else:
             blocks.append("".join(now))
             now = []
