@@ -7,13 +7,16 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tidebar.catalogue import query
+from tidebar.catalogue.cleaning import frame
 from tidebar.catalogue.common import ctes, full, over, rnd, rounded
 from tidebar.catalogue.evaluation import wide_predictions
 from tidebar.functions.scalars import series_key
+from tidebar.operators import clean as C
 from tidebar.operators import evaluate as E
 from tidebar.operators import features as X
 from tidebar.operators import models as M
 from tidebar.operators import splits as V
+from tidebar.operators.window_ridge import window_ridge
 from tidebar.plans import inputs as I
 from tidebar.session import new_path, stage, stage_once
 from tidebar.sources import store as K
@@ -209,3 +212,49 @@ def q_save_models(spark, sf):
     return both.groupBy("series").agg(
         F.count(F.lit(1)).alias("n"), F.bool_and(F.col("before") == F.col("after")).alias("same")
     )
+
+
+# -- ridge on whole windows ------------------------------------------------------
+
+
+def _window_rows(spark, sf):
+    """The five sequence features of the hourly frame, scaled on the first three quarters of each series."""
+    rows = frame(spark, sf).select("series", "ts", *C.SEQUENCE_FEATURES)
+    fitted = X.scaler(V.chronological_split(rows, I.H).where("split = 'train'"), list(C.SEQUENCE_FEATURES))
+    scaled = X.minmax_scale(rows, list(C.SEQUENCE_FEATURES), fitted)
+    scaled = scaled.select("series", "ts", *(F.col(f"{c}_scaled").alias(c) for c in C.SEQUENCE_FEATURES))
+    return stage_once(spark, f"{sf}/window_rows", lambda: scaled), fitted
+
+
+@query("window_ridge")
+def q_window_ridge(spark, sf):
+    """Windows of 48 rows and five features, errors in prices, on training and held-out windows."""
+    rows, fitted = _window_rows(spark, sf)
+    out = window_ridge(rows, I.H, C.SEQUENCE_FEATURES)
+    for c in ("actual", "predicted"):
+        out = X.inverse_scale(out, c, "close", fitted, c)
+    e = E.error_metrics()
+    return rounded(out.groupBy("series", "split").agg(e["mae"].alias("mae"), e["rmse"].alias("rmse"), F.count(F.lit(1)).alias("n")))
+
+
+_SHORT = {
+    "b": f"""SELECT series, ts, row_number() OVER {over()} - 1 AS pos, count(*) OVER (PARTITION BY series) AS n,
+        close / 100 AS x0, lag(close / 100) OVER {over()} AS x1, lead(close / 100, 26) OVER {over()} AS y FROM bars_h""",
+    "t": "SELECT * FROM b WHERE pos >= 1 AND pos < floor(0.75 * n) - 26",
+    # normal equations of two lags with a ridge of 1
+    "m": """SELECT series, avg(x0) AS a0, avg(x1) AS a1, avg(y) AS ay, var_pop(x0) * count(*) + 1 AS c00, covar_pop(x0, x1) * count(*) AS c01,
+        var_pop(x1) * count(*) + 1 AS c11, covar_pop(x0, y) * count(*) AS v0, covar_pop(x1, y) * count(*) AS v1 FROM t GROUP BY 1""",
+    "w": "SELECT *, (v0 * c11 - v1 * c01) / (c00 * c11 - c01 * c01) AS w0, (v1 * c00 - v0 * c01) / (c00 * c11 - c01 * c01) AS w1 FROM m",
+}
+
+
+@query(
+    "window_ridge_short",
+    ctes("bars_h", **_SHORT)
+    + f"""SELECT b.series, b.ts, b.pos AS row, CASE WHEN pos < floor(0.75 * n) - 26 THEN 'train' ELSE 'test' END AS split,
+        {rnd('y AS actual', 'ay + w0 * (x0 - a0) + w1 * (x1 - a1) AS predicted')} FROM b JOIN w ON w.series = b.series
+        WHERE pos >= 1 AND y IS NOT NULL AND (pos < floor(0.75 * n) - 26 OR pos >= floor(0.75 * n))""",
+)
+def q_window_ridge_short(spark, sf):
+    rows = I.bars_h(spark, sf).select("series", "ts", (F.col("close") / 100).alias("close"))
+    return rounded(window_ridge(rows, I.H, ("close",), length=2))
