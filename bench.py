@@ -28,6 +28,7 @@ STORES = {
     "bars_d_all": inputs.bars_d_all,
     "bars_d_flag": inputs.bars_d_flag,
     "macro": inputs.macro,
+    "lexicon": inputs.lexicon,
     "frame_h": frame,
     "training_h": training,
 }

@@ -16,6 +16,7 @@ from tidebar.operators.splits import kfold
 from tidebar.plans import inputs as I
 from tidebar.plans import zones
 from tidebar.plans.joins import join_configured
+from tidebar.plans.zones import Order
 
 MODELS = ["m1", "m2", "m3", "m4"]
 SIX = [*MODELS, "m5", "m6"]
@@ -135,14 +136,14 @@ def q_classification(spark, sf):
 
 def _shift_sql(k):
     return ctes(
-        "bars_h", **_WIDE, s=f"SELECT series, actual, lead(m1, {k}) OVER {over()} AS predicted FROM wide WHERE horizon = '24'"
-    ) + f"""SELECT series, {rnd(_MAE, _RMSE, 'avg(abs(actual - predicted)) AS avg_diff')}, count(*) AS n
-        FROM s WHERE predicted IS NOT NULL GROUP BY series"""
+        "bars_h", **_WIDE, s=f"SELECT series, horizon, actual, lead(m1, {k}) OVER (PARTITION BY series, horizon ORDER BY ts) AS predicted FROM wide"
+    ) + f"""SELECT series, horizon, {rnd(_MAE, _RMSE, 'avg(abs(actual - predicted)) AS avg_diff')}, count(*) AS n
+        FROM s WHERE predicted IS NOT NULL GROUP BY series, horizon"""
 
 
 def _shifted(spark, sf, k):
-    rows = wide_predictions(spark, sf, (24,)).select("series", "ts", "actual", F.col("m1").alias("predicted"))
-    return rounded(E.shifted_error(rows, I.H, k))
+    rows = wide_predictions(spark, sf).select("series", "horizon", "ts", "actual", F.col("m1").alias("predicted"))
+    return rounded(E.shifted_error(rows, Order(3600, ("series", "horizon")), k))
 
 
 @query("shifted_error", _shift_sql(25))

@@ -18,6 +18,7 @@ from tidebar.operators.ewm import ewm
 from tidebar.operators.models import vectorise
 from tidebar.plans import inputs as I
 from tidebar.plans import zones
+from tidebar.plans.zones import Order
 from tidebar.session import stage_once
 
 _BWD = "(PARTITION BY series ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
@@ -131,7 +132,7 @@ def q_horizons_clock(spark, sf):
 # -- sequences -----------------------------------------------------------------
 
 # Values are compared as whole millionths, joined in order and hashed.
-_SEQ_FEATURES = ("close", "high", "low")
+_SEQ_FEATURES = ("close", "high", "low", "open", "volume")
 
 
 def _digest(array):
@@ -203,7 +204,7 @@ def q_alternating(spark, sf):
         sc=_scale_sql("bars_15m_all", _SEQ_FEATURES),
         q=f"SELECT *, row_number() OVER {over()} AS rn, lead(s_close, 26) OVER {over()} AS t FROM sc",
     )
-    + f"SELECT series, ts, {rnd('s_close AS close', 's_high AS high', 's_low AS low', places=9)} FROM q WHERE rn >= 48 AND t IS NOT NULL",
+    + f"SELECT series, ts, {rnd(*(f's_{c} AS {c}' for c in _SEQ_FEATURES), places=9)} FROM q WHERE rn >= 48 AND t IS NOT NULL",
 )
 def q_last_timestep(spark, sf):
     df = X.sequences(I.bars_15m_all(spark, sf), I.Q, _SEQ_FEATURES)
@@ -241,7 +242,7 @@ _NUM = ("open", "high", "low", "target", "rsi", "atr", "adx", "upper_band", "low
 
 
 def _combined_sql():
-    a, b = "bars_15m_all", "bars_h"
+    sources = {"f": ("5m", "bars_5m_all"), "q": ("15m", "bars_15m_all"), "h": ("1h", "bars_h"), "d": ("1d", "bars_d_all")}
 
     def chain(source, p):
         c = indicator_ctes(source)
@@ -259,8 +260,9 @@ def _combined_sql():
             (isodow(ts) - 1)::INTEGER AS day_of_week, hour(ts)::INTEGER AS hour, minute(ts)::INTEGER AS minute, {cyc},
             CASE WHEN close - prev_close > 0 THEN 1 WHEN close - prev_close < 0 THEN -1 ELSE 0 END AS impulse_color FROM {p}_ind"""
 
-    u = f"{part('q', '15m', a)} UNION ALL {part('h', '1h', b)}"
-    return ctes(a, b, **chain(a, "q"), **chain(b, "h"), u=u) + (
+    u = " UNION ALL ".join(part(p, *of) for p, of in sources.items())
+    chains = {k: v for p, (_, source) in sources.items() for k, v in chain(source, p).items()}
+    return ctes(*(source for _, source in sources.values()), **chains, u=u) + (
         f"SELECT timeframe, series, ts, {rnd(*_NUM)}, volume, day_of_week, hour, minute, impulse_color FROM u"
     )
 
@@ -280,9 +282,12 @@ def _training_part(bars, order):
 
 @query("combined_training_frame", _combined_sql())
 def q_combined(spark, sf):
-    frames = {"15m": _training_part(I.bars_15m_all(spark, sf), I.Q), "1h": _training_part(I.bars_h(spark, sf), I.H)}
-    frames = {k: stage_once(spark, f"{sf}/training_{k}", lambda v=v: v) for k, v in frames.items()}
-    return rounded(X.combined_training_frame(frames, {"15m": I.Q, "1h": I.H}))
+    inputs = {"5m": (I.bars_5m_all, Order(300)), "15m": (I.bars_15m_all, I.Q), "1h": (I.bars_h, I.H), "1d": (I.bars_d_all, I.D)}
+    frames = {
+        k: stage_once(spark, f"{sf}/training_{k}", lambda read=read, order=order: _training_part(read(spark, sf), order))
+        for k, (read, order) in inputs.items()
+    }
+    return rounded(X.combined_training_frame(frames, {k: order for k, (_, order) in inputs.items()}))
 
 
 # -- splits and validation -----------------------------------------------------

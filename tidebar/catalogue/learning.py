@@ -18,10 +18,10 @@ from tidebar.operators import models as M
 from tidebar.operators import splits as V
 from tidebar.operators.window_ridge import window_ridge
 from tidebar.plans import inputs as I
-from tidebar.session import new_path, stage, stage_once
+from tidebar.session import checkpoints, new_path, stage, stage_once
 from tidebar.sources import store as K
 
-# Small ensembles: the registered queries check the path, not the accuracy of a large forest.
+# Stacks and grids train dozens of ensembles; theirs are small ones. Single models have their default sizes.
 SMALL = {"trees": 10, "depth": 4}
 FEATURES = ("close", "close_lag_1", "close_lag_2", "close_lag_3", "close_ma_5", "close_ma_10", "close_ma_15", "hour")
 
@@ -39,6 +39,7 @@ def training(spark, sf):
 
 
 def _fit_and_score(spark, sf, regressor):
+    checkpoints(spark)  # boosting cuts its lineage there every ten rounds
     rows = M.vectorise(FEATURES).transform(training(spark, sf))
     model = regressor.fit(rows.where(F.col("split") == "train"))
     scored = model.transform(rows.where(F.col("split") == "test"))
@@ -48,27 +49,27 @@ def _fit_and_score(spark, sf, regressor):
 
 @query("random_forest")
 def q_random_forest(spark, sf):
-    return _fit_and_score(spark, sf, M.random_forest(**SMALL))
+    return _fit_and_score(spark, sf, M.random_forest())
 
 
 @query("gradient_boosting")
 def q_gradient_boosting(spark, sf):
-    return _fit_and_score(spark, sf, M.gradient_boosting(trees=5, depth=3))
+    return _fit_and_score(spark, sf, M.gradient_boosting())
 
 
 @query("boosted_alt")
 def q_boosted_alt(spark, sf):
-    return _fit_and_score(spark, sf, M.boosted_alt(trees=5, depth=3))
+    return _fit_and_score(spark, sf, M.boosted_alt())
 
 
 @query("extra_trees")
 def q_extra_trees(spark, sf):
-    return _fit_and_score(spark, sf, M.extra_trees(**SMALL))
+    return _fit_and_score(spark, sf, M.extra_trees())
 
 
 @query("boosted_depth6")
 def q_boosted_depth6(spark, sf):
-    return _fit_and_score(spark, sf, M.boosted_depth6(trees=3, depth=6))
+    return _fit_and_score(spark, sf, M.boosted_depth6())
 
 
 _META = {
@@ -116,27 +117,27 @@ SEQUENCE = ("close", "high", "low", "open", "volume")
 def q_sequence_regressor(spark, sf):
     bars = I.bars_15m_all(spark, sf)
     rows = stage_once(spark, f"{sf}/sequences", lambda: X.sequences(bars, I.Q, SEQUENCE, steps=1))
-    model, vectors = M.sequence_regressor(rows, features=SEQUENCE)
-    scored = model.transform(vectors)
+    split = V.chronological_split(rows.select("series", "ts"), I.Q)
+    rows = rows.join(split, ["series", "ts"])
+    model, _ = M.sequence_regressor(rows.where("split = 'train'"), features=SEQUENCE)
+    scored = model.transform(M.sequence_vectors(rows.where("split = 'test'"), SEQUENCE))
     scored = X.inverse_scale(scored, "prediction", "close", X.scaler(bars, ["close"]), "predicted")
     scored = X.inverse_scale(scored, "target", "close", X.scaler(bars, ["close"]), "actual")
     return scored.groupBy("series").agg(*[a.alias(n) for n, a in E.error_metrics().items()])
 
 
 def _stack(spark, sf):
-    bases = {
-        "random_forest": M.random_forest(trees=5, depth=4),
-        "gradient_boosting": M.gradient_boosting(trees=3, depth=3),
-        "linear": LinearRegression(featuresCol="features", labelCol="target"),
-    }
-    rows = training(spark, sf).where(F.col("split") == "train").withColumn("fold", F.col("fold") % 2)
-    return M.train_and_stack(rows, FEATURES, bases, folds=2, stage=stage)
+    checkpoints(spark)
+    bases = {name: build(trees=5, depth=4) for name, build in M.BASE_MODELS.items()}
+    bases["linear"] = LinearRegression(featuresCol="features", labelCol="target")
+    rows = training(spark, sf).where(F.col("split") == "train")
+    return M.train_and_stack(rows, FEATURES, bases, folds=5, stage=stage)
 
 
 @query("train_and_stack")
 def q_train_and_stack(spark, sf):
     _, _, table = _stack(spark, sf)
-    names = ["random_forest", "gradient_boosting", "linear", "stacked"]
+    names = [*M.BASE_MODELS, "linear", "stacked"]
     long = table.unpivot(["series", "ts", "target"], names, "model", "predicted")
     return E.metrics_by(long, ("model",), "target")
 

@@ -21,6 +21,7 @@ from tidebar.operators.signals import (
 )
 from tidebar.plans import inputs as I
 from tidebar.plans import zones
+from tidebar.plans.zones import Order
 
 # Means are compared after rounding to 6 places, as in the operators.
 _CALM = f"(atr < {full('avg', 'atr', 10)})"
@@ -173,7 +174,7 @@ def q_backtest_metrics(spark, sf):
 
 _B5 = " UNION ALL ".join(
     f"SELECT '{tf}' AS timeframe, '{h}' AS horizon, close AS predicted, lead(close, {h}) OVER {over()} AS actual FROM {source}"
-    for tf, source in (("15m", "bars_15m_all"), ("1h", "bars_h_all"))
+    for tf, source in (("5m", "bars_5m_all"), ("15m", "bars_15m_all"), ("1h", "bars_h_all"), ("1d", "bars_d_all"))
     for h in (12, 24, 36, 48, 72, 96)
 )
 
@@ -181,8 +182,10 @@ _B5 = " UNION ALL ".join(
 @query(
     "multi_horizon_backtest",
     ctes(
+        "bars_5m_all",
         "bars_15m_all",
         "bars_h_all",
+        "bars_d_all",
         a=_B5,
         r="SELECT * FROM a WHERE actual IS NOT NULL",
         c="SELECT timeframe, horizon, avg(predicted) - 0.75 * stddev_pop(predicted) AS lo, avg(predicted) + 0.75 * stddev_pop(predicted) AS hi FROM r GROUP BY 1, 2",
@@ -192,7 +195,9 @@ _B5 = " UNION ALL ".join(
 )
 def q_multi_horizon(spark, sf):
     out = None
-    for timeframe, bars, order in (("15m", I.bars_15m_all(spark, sf), I.Q), ("1h", I.bars_h_all(spark, sf), I.H)):
+    inputs = {"5m": (I.bars_5m_all, Order(300)), "15m": (I.bars_15m_all, I.Q), "1h": (I.bars_h_all, I.H), "1d": (I.bars_d_all, I.D)}
+    for timeframe, (read, order) in inputs.items():
+        bars = read(spark, sf)
         rows = bars.select(F.lit(timeframe).alias("timeframe"), "series", "ts", "close")
         part = T.multi_horizon_backtest(rows, order, (12, 24, 36, 48, 72, 96))
         out = part if out is None else out.unionByName(part)

@@ -104,9 +104,14 @@ def coefficients(spark, model: PipelineModel, inputs: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "term string, weight double")
 
 
+def sequence_vectors(df: DataFrame, features=SEQUENCE_FEATURES) -> DataFrame:
+    """Windows of a sequence table as ``features`` vectors."""
+    return df.withColumn("features", array_to_vector(flat_vector("sequence", features))).drop("sequence")
+
+
 def sequence_regressor(df: DataFrame, regressor=None, features=SEQUENCE_FEATURES, label="target") -> tuple[PipelineModel, DataFrame]:
     """M8: predict from the whole window of a sequence table; returns the model and its vectors."""
-    vectors = df.withColumn("features", array_to_vector(flat_vector("sequence", features))).drop("sequence")
+    vectors = sequence_vectors(df, features)
     regressor = regressor or LinearRegression(solver="l-bfgs", regParam=0.001, **_columns(label, "prediction"))
     return Pipeline(stages=[regressor]).fit(vectors), vectors
 

@@ -143,9 +143,11 @@ def lexicon(spark, sf) -> DataFrame:
     """Word polarities: each distinct word, scored by its hash."""
     from tidebar.sources.macro_news import tokens
 
-    words = articles(spark, sf).select(F.explode(tokens("text")).alias("token")).distinct()
-    h = key_hash("token")
-    return words.select("token", ((h % 201 - 100) / 100).alias("polarity"))
+    def build():
+        words = articles(spark, sf).select(F.explode(tokens("text")).alias("token")).distinct()
+        return words.select("token", ((key_hash("token") % 201 - 100) / 100).alias("polarity"))
+
+    return _stored(spark, sf, "lexicon", build)
 
 
 def gappy(df: DataFrame, percent: int = 40) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.session import stage
+
 SALTS = 16
 
 
@@ -20,6 +22,24 @@ def join_per_key(df: DataFrame, per_key: DataFrame, keys: tuple[str, ...], sprea
     return rows.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
 
+def join_frequent(rows: DataFrame, per_key: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """Inner join of stored ``rows`` with a large table of one row per ``key``, of which some are very frequent in ``rows``.
+
+    A sketch that merges over tasks finds the keys with more than ``1 / most`` of
+    the rows, fewer than ``most``. Their rows of the table are stored by
+    themselves, so that Spark's own size check sees how few they are and
+    broadcasts them; the other rows are shuffled by a key of which none is frequent.
+    """
+    found = F.expr(f"approx_top_k(`{key}`, {most}, {20 * most})")
+    total, top = rows.agg(F.count(key), found).first()
+    often = [r["item"] for r in top or [] if r["count"] * most > total]
+    if not often:
+        return rows.join(per_key, key)
+    is_often = F.col(key).isin(often)
+    few = stage(per_key.where(is_often).coalesce(1), "frequent")
+    return rows.where(is_often).join(few, key).unionByName(rows.where(~is_often).join(per_key.where(~is_often), key))
+
+
 def join_configured(df: DataFrame, table: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
     """Join with a table whose keys come from the configuration: models, horizons, timeframes.
 

@@ -47,6 +47,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return _scratch[app]
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Sets the folder of reliable checkpoints where the cluster has not named one."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(f"{scratch_dir(spark)}/checkpoints")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path in the scratch folder."""
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

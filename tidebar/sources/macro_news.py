@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.operators import clean
+from tidebar.plans.joins import join_frequent
 from tidebar.plans.zones import Order
 from tidebar.schema import ARTICLES
+from tidebar.session import stage
 
 MACRO = Order(86400 * 30, ("name",))
-SALTS = 16
 
 
 def load_macro(macro: DataFrame) -> DataFrame:
@@ -69,17 +70,13 @@ def tokens(text: str) -> Column:
 def title_sentiment(articles: DataFrame, lexicon: DataFrame, key: str, title: str = "title") -> DataFrame:
     """Mean polarity of the known words of each title; 0 without any.
 
-    A few words make up most of all text. They are spread over salts, against
-    that many copies of the lexicon, so the join stays even when the lexicon is
-    too large for Spark to broadcast by its own size check. Polarities are summed as
-    decimals, so that the mean does not depend on the order of the words.
+    A few words make up most of all text; they are joined apart from the others,
+    see ``join_frequent``. Polarities are summed as decimals, so that the mean
+    does not depend on the order of the words.
     """
-    words = articles.select(key, F.explode(tokens(title)).alias("token"))
-    words = words.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-    copies = lexicon.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
-    )
-    scored = words.join(copies, ["token", "_salt"]).groupBy(key).agg(F.avg(F.col("polarity").cast("decimal(18,9)")).cast("double").alias("_polarity"))
+    words = stage(articles.select(key, F.explode(tokens(title)).alias("token")), "words")
+    known = join_frequent(words, lexicon, "token")
+    scored = known.groupBy(key).agg(F.avg(F.col("polarity").cast("decimal(18,9)")).cast("double").alias("_polarity"))
     out = articles.join(scored, key, "left").withColumn("polarity", F.coalesce("_polarity", F.lit(0.0)))
     return out.drop("_polarity")
 
