@@ -249,3 +249,20 @@ def test_fills_keep_rows_without_a_place(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     split = V.chronological_split(df, zones.HOURLY).collect()
     assert len(split) == 5 and sum(r["split"] is None for r in split) == 3
+
+
+def test_as_of_with_a_dense_right_side(spark):
+    """A value every second for hours, left rows far apart and many at one instant; zones stay small."""
+    right = [(START + dt.timedelta(seconds=i), float(i) if i % 7 else None) for i in range(9000)]
+    left = [("a" if i % 2 else "b", START + dt.timedelta(seconds=i * 37 - 100, microseconds=500), i) for i in range(200)]
+    left += [(f"s{i % 5}", START + dt.timedelta(seconds=4000), 1000 + i) for i in range(900)] + [("a", None, 5000), (None, START, 5001)]
+    ls = spark.createDataFrame(left, "series string, ts timestamp_ntz, id int").repartition(4)
+    rs = spark.createDataFrame(right, "ts timestamp_ntz, v double").repartition(3)
+    got = enrich.asof_calendar(ls, rs, ["v"], zones.Order(1, rows=256))
+    lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not any("NestedLoop" in x or "Cartesian" in x for x in lines)
+    got = {r["id"]: (r["series"], r["ts"], r["v"]) for r in got.collect()}
+    assert len(got) == len(left)
+    for series, ts, i in left:
+        at = None if ts is None or ts < START else min(int((ts - START).total_seconds()), len(right) - 1)
+        assert got[i] == (series, ts, None if at is None else right[at][1])

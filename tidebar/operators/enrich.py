@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tidebar.plans import zones
 from tidebar.plans.zones import Order
 
-SALTS = 8
-
 
 def asof_enrich(
     left: DataFrame, right: DataFrame, columns: list[str], on: tuple[str, ...], order: Order | None = None
@@ -18,53 +16,31 @@ def asof_enrich(
 
     Both sides become one ordered frame whose missing values are filled
     forward, and the left rows are kept. Zones split it by time, so a long
-    series is spread over tasks. Without ``order`` the density is measured on
-    the left side.
+    series is spread over tasks; left rows of one instant stand after the right
+    ones, in the order of a hash, by which many of them can be split too. Without
+    ``order`` the density is measured on both sides. A left row without a time or
+    key, or before the first right row, gets NULLs.
     """
-    both = left.withColumn("_side", F.lit(1)).unionByName(
-        right.select(*on, "ts", *columns).withColumn("_side", F.lit(0)), allowMissingColumns=True
+    after = F.pmod(F.xxhash64(*left.columns), F.lit(1 << 62)) + 1
+    both = left.withColumn("_side", after).unionByName(
+        right.select(*on, "ts", *columns).withColumn("_side", F.lit(0).cast("long")), allowMissingColumns=True
     )
     # a struct marks presence, so a missing value in the latest right row stays missing
     both = both.withColumn("_match", F.when(F.col("_side") == 0, F.struct(*columns)))
-    order = order or zones.fit(left, Order(keys=tuple(on)))
+    order = order or zones.fit(both, Order(keys=tuple(on)))
     order = Order(order.step, tuple(on), "ts", ("_side",), order.rows)
     z = zones.fill_forward(zones.enter(both, order), order, {"_match": "_match"})
-    z = z.where(F.col("_side") == 1).withColumns({c: F.col(f"_match.{c}") for c in columns})
+    z = z.where(F.col("_side") > 0).withColumns({c: F.col(f"_match.{c}") for c in columns})
     return zones.leave(z).drop("_side", "_match")
 
 
-def asof_calendar(left: DataFrame, right: DataFrame, columns: list[str], step: float = 86400 * 30) -> DataFrame:
-    """X1, right side without keys: a low-frequency series that applies to every left row.
+def asof_calendar(left: DataFrame, right: DataFrame, columns: list[str], order: Order | None = None) -> DataFrame:
+    """X1, right side without keys: a series, such as a macro value, that applies to every left row.
 
-    Each right row holds until the next one. It is laid out over the days it
-    covers, which turns the as-of condition into a join on the day; the table
-    has one row per calendar day and right row, whatever the size of the left
-    side. The left rows of one day are spread over a few salted copies of it,
-    so the join stays even where Spark does not broadcast by its own size check.
+    All left series share one line of time with the right side. A row is in one
+    zone and meets the right rows in it and the last one before it, however
+    dense either side is; no pairs are made.
     """
-    order = Order(step, ("_all",))
-    spans = zones.over(
-        right.select("ts", *columns).withColumn("_all", F.lit(0)),
-        order,
-        after=1,
-        _until=lambda w: F.lead("ts").over(w),
-    ).drop("_all")
-    last = left.agg(F.max("ts") + F.expr("interval 1 microsecond")).scalar()
-    spans = spans.withColumnRenamed("ts", "_from").withColumn("_until", F.coalesce("_until", last))
-    spans = spans.where(F.col("_from") < F.col("_until"))
-    days = F.sequence(F.to_date("_from"), F.to_date("_until"))
-    spans = spans.withColumn("_day", F.explode(days))
-    spans = spans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    rows = left.withColumns(
-        {"_day": F.to_date("ts"), "_salt": F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))}
-    )
-    rows, spans = rows.alias("l"), spans.alias("r")
-    match = (
-        (F.col("l._day") == F.col("r._day"))
-        & (F.col("l._salt") == F.col("r._salt"))
-        & (F.col("r._from") <= F.col("l.ts"))
-        & (F.col("l.ts") < F.col("r._until"))
-    )
-    return rows.join(spans, match, "left").select(
-        *[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in columns]
-    )
+    shared = order and Order(order.step, ("_all",), "ts", (), order.rows)
+    out = asof_enrich(left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), columns, ("_all",), shared)
+    return out.drop("_all")
