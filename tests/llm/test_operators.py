@@ -480,3 +480,28 @@ def test_pipeline(spark, docs, rows):
     got = corpus_pipeline.run(spark, docs).collect()
     assert got and all(r["round_trip"] for r in got)
     assert corpus_pipeline.run(spark, f"{docs}/none").count() == 0
+
+
+def test_recall_on_a_thousand_planted_pairs(spark):
+    """Few sampled queries meet a pair, all pairs lie close to the threshold: nine in ten at least are linked, and no others."""
+    r = np.random.default_rng(6)
+    base = embedding.unit(r.normal(size=(6000, 32)))
+    planted = embedding.turned(base[:1000], 0.953, r)
+    vectors = np.r_[base, planted]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>").repartition(4)
+    got = {x["key"]: x["n_links"] for x in embedding.near_duplicates(df, "id", "v").collect()}
+    want = ((vectors @ vectors.T) >= 0.95).sum(1) - 1
+    assert want.sum() >= 2000 and all(got[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= 0.9 * want.sum()
+    turned = embedding.turned(base, 0.95, r)
+    np.testing.assert_allclose((turned * base).sum(1), 0.95)
+    np.testing.assert_allclose(embedding.turned(np.ones((2, 1)), 0.95, r), 1)
+
+
+@pytest.mark.parametrize("name, columns", [("op7", "page_id long, url string, html string"), ("op8", "page_id long, url string, html string"), ("op10", "vec_id long, embedding array<float>")])
+def test_empty_pages_and_vectors(spark, tmp_path, name, columns):
+    importable(spark)
+    table = "embeddings" if name == "op10" else "pages"
+    spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{table}.parquet")
+    query = next(q for n, q in QUERIES.items() if n.startswith(f"{name}_"))
+    assert query(spark, str(tmp_path)).count() == 0

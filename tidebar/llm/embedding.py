@@ -14,6 +14,9 @@ from tidebar.llm.simhash import joined
 from tidebar.session import stage
 
 
+TURNS = 4  # with 256 queries over a thousand measured pairs
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors.astype(np.float64)
     vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # or the squares of very small ones vanish
@@ -79,12 +82,23 @@ class Grid:
         return int(np.searchsorted(np.sort(b), total - a + 1e-12, side="right").sum())
 
 
+def turned(vectors: np.ndarray, cosine: float, random) -> np.ndarray:
+    """Unit vectors at this cosine to the given ones, in random directions; a vector of one component stays."""
+    away = random.normal(size=vectors.shape)
+    away -= (away * vectors).sum(1, keepdims=True) * vectors
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    return np.where(length > 1e-9, cosine * vectors + np.sqrt(1 - cosine**2) * away / np.maximum(length, 1e-9), vectors)
+
+
 def fit(distinct: DataFrame, n: int, width: int, threshold: float, recall: float, sample: int, queries: int, most: int):
     """A grid, and the number of cells a search visits for the target recall.
 
     The codebooks are fitted on about ``sample`` vectors taken by hash, of sqrt(n / 24)
     centres each (``most`` at most). About ``queries`` of them are compared with all
     vectors; the traversal ranks of the neighbours found give the number of cells.
+    Where few or none have neighbours, that says little: each is also turned
+    ``TURNS`` times by the largest angle that still links, and the ranks at which
+    the turned ones reach the cell of the vector count likewise.
     """
     part = F.pmod(F.xxhash64("embedding"), F.lit(1 << 30))
     rows = distinct.where(part < int((1 << 30) * min(1.0, sample / n))).select("embedding").toArrow().column("embedding")
@@ -92,8 +106,12 @@ def fit(distinct: DataFrame, n: int, width: int, threshold: float, recall: float
         rows = distinct.select("embedding").limit(1).toArrow().column("embedding")
     known = unit(matrix(rows.combine_chunks(), width))
     grid = Grid(known, int(np.clip(np.ceil(np.sqrt(n / 24)), 1, most)))
-    asked = known[np.random.default_rng(7).permutation(len(known))[:queries]]
+    random = np.random.default_rng(7)
+    asked = known[random.permutation(len(known))[:queries]]
     a, b = grid.distances(asked)
+    cells = np.tile(grid.cells(a, b), TURNS)
+    c, d = grid.distances(turned(np.tile(asked, (TURNS, 1)), threshold, random))
+    reached = np.sort([grid.rank(c[i], d[i], int(cell)) for i, cell in enumerate(cells)])
 
     def ranks(batches):
         for batch in batches:
@@ -112,7 +130,7 @@ def fit(distinct: DataFrame, n: int, width: int, threshold: float, recall: float
 
     seen = distinct.select("embedding").mapInArrow(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
     total, so_far = sum(r["n"] for r in seen), 0
-    visits = 8
+    visits = max(8, int(reached[int(np.ceil(recall * len(reached))) - 1]))
     for r in seen:
         so_far += r["n"]
         visits = max(visits, r["rank"])
