@@ -157,6 +157,37 @@ def test_words_outside_the_lexicon_have_emissions(spark):
     assert min(gain[1000], gain[1001]) > gain[1002] + 1
 
 
+def test_the_first_model_rests_on_all_training_texts(spark, monkeypatch):
+    """More than 300,000 tokens, of which the counts of neighbours miss none; one text repeats, one is null, one in ten is held out."""
+    importable(spark)
+    r = random.Random(5)
+    base = [" ".join(r.choices("abcdefgh", [40, 20, 10, 9, 8, 7, 5, 1], k=1000)) for _ in range(40)]
+    data = [(i, base[i % 40], i % 10 == 0) for i in range(400)] + [(7, base[7], False), (None, None, False), (401, "i", False)]
+    seen, first = [], hmm.first_model
+    monkeypatch.setattr(hmm, "first_model", lambda pairs, *args: seen.append(pairs) or first(pairs, *args))
+    df = spark.createDataFrame(data, "id long, t string, held boolean").repartition(3)
+    known = hmm.learn(df, "id", "t", F.col("held"), states=2, rounds=0, first_rounds=3, pair_symbols=6)
+    place = {w.decode(): min(i, 5) for i, w in enumerate(known.names, 1)}
+    want = np.zeros((6, 6))
+    for _, t, h in data:
+        ids = [place.get(w, 5) for w in (t or "").split()] + [0]
+        for a, b in zip(ids, ids[1:]) if not h else ():
+            want[a, b] += 1
+    assert want.sum() > 300_000 and (want[1:] > 0).all()
+    np.testing.assert_array_equal(seen[0], want)
+    np.testing.assert_allclose(hmm.first_model(np.zeros((2, 2)), np.array([0.5, 0.5]), 2, 3, 1).emit.sum(0), 1)
+
+
+def test_the_first_model_finds_states_in_neighbours():
+    """Texts of two halves of a vocabulary that never meet: one state each, with the emissions of its half."""
+    pairs = np.zeros((5, 5))
+    pairs[1:3, 1:3], pairs[3:, 3:], pairs[1:, 0] = 500, 500, 10
+    model = hmm.first_model(pairs, np.array([0.01, 0.2475, 0.2475, 0.2475, 0.2475]), 2, 100, 42)
+    halves = np.array([model.emit[1:3].sum(0), model.emit[3:].sum(0)])
+    assert sorted(halves.argmax(0)) == [0, 1] and halves.max(0).min() > 0.8 and np.diag(model.move).min() > 0.9
+    np.testing.assert_allclose(model.emit.sum(0), 1)
+
+
 def test_score_equals_a_plain_forward_pass(spark):
     """Lexicon words, others, words that occur once and unseen ones; small blocks; each state's emissions sum to 1."""
     importable(spark)

@@ -125,19 +125,39 @@ def bundles(docs: list[np.ndarray], size: int = 400_000):
         yield group
 
 
-def first_model(docs: list[np.ndarray], prior: np.ndarray, states: int, rounds: int, seed: int) -> Model:
-    """Baum-Welch on a bounded sample, from states that each saw a random part of its texts."""
-    random, n = np.random.default_rng(seed), len(prior)
+def neighbours(coded: DataFrame, symbols: int) -> DataFrame:
+    """(cell, n): how often the second symbol of a cell follows the first, over whole texts; numbers from ``symbols - 1`` on count as one symbol."""
+
+    def count(batches):
+        found = np.zeros(symbols * symbols, np.int64)
+        for batch in small(batches):
+            ids = np.concatenate([unpack(x) for x in batch.column("coded").to_pylist()])
+            ids = np.minimum(ids, symbols - 1).astype(np.int64)
+            found += np.bincount(ids[:-1] * symbols + ids[1:], minlength=len(found))
+        found[:symbols] = 0  # nothing follows the end of a text
+        cells = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(found[cells], pa.int64())], names=["cell", "n"])
+
+    return coded.select("coded").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def first_model(pairs: np.ndarray, prior: np.ndarray, states: int, rounds: int, seed: int) -> Model:
+    """Baum-Welch on counts of neighbouring symbols (symbol, next symbol), each pair a text of two, from random emissions."""
+    n = len(prior)
     counts = np.zeros((n + states + 1, states))
+    counts[:n] = pairs.sum() / states * prior[:, None] * np.random.default_rng(seed).gamma(1.0, size=(n, states))
     counts[n : n + states] = 20.0 * np.eye(states)
-    for doc, state in zip(docs, random.integers(states, size=len(docs))):
-        np.add.at(counts[:, state], doc, 1.0)
     model = Model.of(counts, prior, states)
-    for _ in range(rounds if docs else 0):
-        found = None
-        for group in bundles(docs):
-            found = model.expected([docs[i] for i in group], found)
-        model = Model.of(found, prior, states)
+    for _ in range(rounds if pairs.any() else 0):
+        first = model.emit * model.start
+        before = first @ model.move
+        ratio = pairs / (before @ model.emit.T)
+        first_counts = first * (ratio @ (model.emit @ model.move.T))
+        counts[:n] = first_counts + model.emit * (ratio.T @ before)
+        counts[0] *= 2  # a word is the first of one pair and the second of another, the end only the second
+        counts[n : n + states] = model.move * (first.T @ ratio @ model.emit)
+        counts[n + states] = first_counts.sum(0)
+        model = Model.of(counts, prior, states)
     return model
 
 
@@ -237,7 +257,7 @@ class Learned:
 
 def learn(
     df: DataFrame, key: str, text: str, held_out: Column, states: int = 8, lexicon: int = 262_144,
-    rounds: int = 2, first_rounds: int = 15, sample_tokens: int = 300_000, block_tokens: int = 4_000_000, calm: float = 2.0, seed: int = 42,
+    rounds: int = 2, first_rounds: int = 100, sample_tokens: int | None = None, block_tokens: int = 4_000_000, calm: float = 2.0, seed: int = 42, pair_symbols: int = 512,
 ) -> Learned:
     """Train on the rows that are not held out, and encode all of them; see :func:`score`."""
     spark = df.sparkSession
@@ -291,13 +311,19 @@ def learn(
     settle(spark, mine)
 
     train = coded.where("NOT held_out").select("row", "key", "block", "coded")
-    share = min(1.0, sample_tokens / max(total, 1))
-    sample = train.where(F.pmod(F.xxhash64(F.lit(seed), "key", "row"), F.lit(1 << 30)) < int(share * (1 << 30))).select("coded")
-    picked = [np.minimum(unpack(x), symbols).astype(np.int64) for x in sample.toArrow().column("coded").to_pylist()]
-    rest = max(1 - head.sum(), unseen)  # of the words outside the lexicon, seen and unseen
-    model = first_model(picked, np.r_[head, rest], states, first_rounds, seed)
-    shared = model.emit[symbols] / rest
-    model = Model(model.start, model.move, np.r_[model.emit[:symbols], [shared * (1 + ADD) / below], np.full((1, states), unseen)])
+    paired = train
+    if sample_tokens is not None:
+        share = min(1.0, sample_tokens / max(total, 1))
+        paired = train.where(F.pmod(F.xxhash64(F.lit(seed), "key", "row"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    often = min(pair_symbols, symbols + 1)  # the end, the most frequent words and one symbol for all others
+    found = neighbours(paired, often).toArrow()
+    pairs_of = np.zeros(often * often)
+    pairs_of[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    rest = max(1 - head[: often - 1].sum(), unseen)  # of all other words, seen and unseen
+    model = first_model(pairs_of.reshape(often, often), np.r_[head[: often - 1], rest], states, first_rounds, seed)
+    shared = model.emit[-1] / rest
+    emit = np.r_[model.emit[:-1], head[often - 1 :, None] * shared]
+    model = Model(model.start, model.move, np.r_[emit, [shared * (1 + ADD) / below], np.full((1, states), unseen)])
     prior = (F.col("n") + ADD) / below
     emissions = words.select("i", *((prior * float(x)).cast("float").alias(f"s{k}") for k, x in enumerate(shared)))
     used: list[str] = []
@@ -310,7 +336,7 @@ def learn(
 
 def score(
     df: DataFrame, key: str, text: str, held_out: Column, states: int = 8, lexicon: int = 262_144,
-    rounds: int = 2, first_rounds: int = 15, sample_tokens: int = 300_000, block_tokens: int = 4_000_000, calm: float = 2.0, seed: int = 42,
+    rounds: int = 2, first_rounds: int = 100, sample_tokens: int | None = None, block_tokens: int = 4_000_000, calm: float = 2.0, seed: int = 42, pair_symbols: int = 512,
 ) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) per row, trained on rows that are not held out.
 
@@ -324,10 +350,13 @@ def score(
     words without any occurrence have exactly their base probability in every
     state, the others are scaled to what is left.
 
-    The model starts from a sample of about ``sample_tokens`` training tokens taken
-    by hash of key and row, so that repeated keys are not taken together, in which
-    words outside the lexicon share one symbol as the base model splits it;
-    ``rounds`` rounds of Baum-Welch over all training texts and words follow.
+    The model starts from the counts of neighbouring tokens of all training texts,
+    in which the end and the ``pair_symbols - 2`` most frequent words are symbols of
+    their own and all other words share one, as the base model splits it (a table
+    of at most ``pair_symbols`` squared numbers): ``first_rounds`` rounds of
+    Baum-Welch on these counts. ``rounds`` rounds over all training texts and words
+    follow. A caller who gives ``sample_tokens`` has the pairs counted in about so many
+    tokens, taken by hash of key and row; by default all are.
 
     Null and empty texts have the end token only. Ties in frequency go by the
     word's bytes. A null ``held_out`` means held out. Without training texts all
@@ -335,7 +364,7 @@ def score(
     text of n words is one task's work, O(n) in time and memory; so is a block of
     about ``block_tokens`` words of one input partition.
     """
-    known = learn(df, key, text, held_out, states, lexicon, rounds, first_rounds, sample_tokens, block_tokens, calm, seed)
+    known = learn(df, key, text, held_out, states, lexicon, rounds, first_rounds, sample_tokens, block_tokens, calm, seed, pair_symbols)
     final = df.sparkSession.sparkContext.broadcast(known.model)
 
     def likelihood(rows: pa.Table, found: pa.Table) -> pa.Table:
