@@ -14,7 +14,7 @@ from tidebar.operators.evaluate import metrics_by
 from tidebar.operators.features import horizon_table, multi_horizon_targets
 from tidebar.plans import inputs as I
 from tidebar.plans import zones
-from tidebar.session import new_path
+from tidebar.session import new_path, stage
 from tidebar.sources import bars as B
 from tidebar.sources import macro_news as N
 from tidebar.sources import store as K
@@ -300,6 +300,7 @@ def q_append_dedup(spark, sf):
 def q_append_sentiment(spark, sf):
     path = new_path(spark, "sentiment")
     score = N.mean_sentiment(N.title_sentiment(I.articles(spark, sf), I.lexicon(spark, sf), "doc_id", "text"))
+    score = stage(score, "score")  # one row: computed once, appended per day
     for day in ("2024-10-18 12:00:00", "2024-10-19 12:00:00"):
         K.append_sentiment(score, path, F.lit(day))
     return rounded(spark.read.parquet(path), 4)

@@ -22,7 +22,7 @@ def join_per_key(df: DataFrame, per_key: DataFrame, keys: tuple[str, ...], sprea
     return rows.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
 
-def join_frequent(rows: DataFrame, per_key: DataFrame, key: str, most: int = 1000) -> DataFrame:
+def join_frequent(rows: DataFrame, per_key: DataFrame, key: str, most: int = 10_000) -> DataFrame:
     """Inner join of stored ``rows`` with a large table of one row per ``key``, of which some are very frequent in ``rows``.
 
     A sketch that merges over tasks finds the keys with more than ``1 / most`` of
