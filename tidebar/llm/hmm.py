@@ -67,15 +67,15 @@ class Model:
         symbol[at] = np.concatenate(docs)
         step = np.empty(len(at), np.int64)
         step[at] = place
-        alpha = self.emit[symbol]
-        scale = np.empty(len(at))
+        alpha = self.emit.take(symbol, axis=0)
+        scale, ones = np.empty(len(at)), np.ones(len(self.start))
         now = np.broadcast_to(self.start, (len(docs), len(self.start)))
         for t in range(lengths[0]):
             a, b = begin[t], begin[t + 1]
             here = alpha[a:b]
             here *= now[: b - a]
-            scale[a:b] = here.sum(1)
-            here /= scale[a:b, None]
+            scale[a:b] = here @ ones  # the product is faster than a sum of so short rows
+            here *= 1 / scale[a:b, None]
             now = here @ self.move
         return alpha, scale, symbol, step, begin, doc, at
 
@@ -98,8 +98,8 @@ class Model:
             a, b = begin[t], begin[t + 1]
             here = np.ones((b - a, k))
             here[: len(last)] = last @ self.move.T
-            last = self.emit[symbol[a:b]]
-            last /= scale[a:b, None]
+            last = self.emit.take(symbol[a:b], axis=0)
+            last *= 1 / scale[a:b, None]
             last *= here
             if t:  # the texts of this step are the first ones of the step before
                 moves += alpha[begin[t - 1] : begin[t - 1] + b - a].T @ last
